@@ -109,6 +109,24 @@ def _duck(text: str) -> str:
         "{events}", "events").replace("{AGE}", "datediff('day', o.last_dt, (select max(o_orderdate) from orders))")
 
 
+RC_COLUMNS = "gender senior_citizen partner dependents phone_service multiple_lines internet_service online_security online_backup device_protection tech_support streaming_tv streaming_movies paperless_billing payment_method".split()
+_SAME = ", ".join(RC_COLUMNS)
+
+# three loads with typical faults: padded ids and blank totals; broken rows under new ids; repeated ids
+MESSY = f"""
+select 1 load_no, concat('  ', customer_id, ' ') customer_id, {_SAME}, tenure, contract, monthly_charges,
+  case when tenure<=2 then ' ' else cast(total_charges as {{STR}}) end total_charges, churn from {{t_rc}}
+union all select 2, concat('NEW-', customer_id), {_SAME}, tenure+60, case when partner='Yes' then 'Weekly' else contract end,
+  monthly_charges-60, 'n/a', case when gender='Male' then 'Maybe' else churn end from {{t_rc}} where tenure>=12
+union all select 3, customer_id, {_SAME}, tenure, contract, monthly_charges+1, cast(total_charges as {{STR}}), churn from {{t_rc}} where contract='Two year'
+"""
+# missing values: categories, blank text numbers, numbers
+HOLES = f"""
+select customer_id, {_SAME.replace("partner,", "nullif(partner,'No') partner,")}, churn, contract,
+  case when senior_citizen=1 then null else tenure end tenure, case when contract='One year' then null else monthly_charges end monthly_charges,
+  case when tenure<=2 then ' ' else cast(total_charges as {{STR}}) end total_charges from {{t_rc}}
+"""
+
 CTES = {
     "t_rc": _duck(RAW_CUSTOMERS),
     "t_base": SCORECARD.replace("{t_rc}", "t_rc"),
@@ -116,6 +134,8 @@ CTES = {
       {PRIORITY} retention_priority, {action_of("risk_segment", f"({PRIORITY})")} recommended_action,
       {rnd("monthly_charges*churn_probability", 2)} estimated_revenue_at_risk, {days_between("predicted_at")} days_since_last_score
       from (select *, timestamp '2024-01-30 23:00:00' - to_days(cast(cast(substr(customer_id,6) as bigint) % 21 as int)) predicted_at from t_base) b""",
+    "t_messy": MESSY.replace("{STR}", "varchar").replace("{t_rc}", "t_rc"),
+    "t_holes": HOLES.replace("{STR}", "varchar").replace("{t_rc}", "t_rc"),
     "t_h": _duck(HISTORY),
     "t_pc": f"""select customer_id, {TENURE_MODEL} tenure_group, total_charges/(case when tenure=0 then 1 else tenure end) charge_per_month,
       {SERVICES} services_count, {CONTRACT_RISK} contract_risk_score, {PAYMENT_RISK} payment_risk_score,

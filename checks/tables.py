@@ -1,5 +1,6 @@
 """The engine's tables as DataFrames, derived lazily from the given parquet tables."""
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import sqltext
 from holdfast.operators import features, scoring
+from holdfast.sources.tables import work_dir
 
 
 class Tables:
@@ -49,6 +51,19 @@ class Tables:
     def h(self) -> DataFrame:
         return self._sql(sqltext.HISTORY, events=self.given("events"))
 
+    @cached_property
+    def messy(self) -> DataFrame:
+        return self._sql(sqltext.MESSY, t_rc=self.rc)
+
+    @cached_property
+    def holes(self) -> DataFrame:
+        return self._sql(sqltext.HOLES, t_rc=self.rc)
+
+    @cached_property
+    def folder(self) -> str:
+        """A fresh folder in the shared work directory."""
+        return f"{work_dir(self.spark)}/checks/{uuid.uuid4().hex}"
+
     @property
     def known_cp(self) -> DataFrame:
         """The already scored part: predictions of the customers that occur in the history."""

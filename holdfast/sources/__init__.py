@@ -1,0 +1 @@
+"""Readers, writers and the run-versioned Parquet tables."""
