@@ -76,7 +76,7 @@ def main() -> None:
                 n = build(spark, sf_dir).count()
                 problem = ""
         except Exception as e:  # report and go on with the next query
-            problem, n = f"{type(e).__name__}: {str(e)[:1500]}", -1
+            problem, n = f"{type(e).__name__}: {str(e)[:700]}", -1
         bad += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} rows={n} {time.time() - start:.2f}s {'' if name in ORACLES else '(rows only) '}{problem}", flush=True)
     print("failures:", bad)
