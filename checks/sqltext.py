@@ -104,6 +104,34 @@ def seg_clv(prefix_rc: str = "", prefix_cp: str = "") -> str:
     return f"{prefix_rc}monthly_charges*least(60.0, 1.0/nullif({prefix_cp}churn_probability,0))"
 
 
+# scorecards that stand for trained models: (name, version, intercept, coefficients, trained on)
+MODELS = [
+    ("contract_card", "v1", -3.6, {"contract_risk_score": 1.3}, "2024-01-02 08:00:00"),
+    ("contract_card", "v2", -4.2, {"contract_risk_score": 1.2, "payment_risk_score": 0.4}, "2024-01-09 08:00:00"),
+    ("tenure_card", "v1", -1.5, {"tenure_group_Established Customer": -1.0, "tenure_group_Growing Customer": 0.3, "tenure_group_Loyal Customer": -1.0, "tenure_group_New Customer": 2.2}, "2024-01-04 08:00:00"),
+    ("tenure_card", "v2", -1.0, {"services_count": -0.15, "tenure_group_Established Customer": -1.0, "tenure_group_Growing Customer": 0.3, "tenure_group_Loyal Customer": -1.0, "tenure_group_New Customer": 2.2}, "2024-01-11 08:00:00"),
+    ("full_card", "v1", -2.9, {"charge_per_month": 0.004, "services_count": -0.11, "contract_risk_score": 0.9, "payment_risk_score": 0.35, "tenure_group_Established Customer": -1.3, "tenure_group_Growing Customer": 0.2, "tenure_group_Loyal Customer": -1.3, "tenure_group_New Customer": 1.4}, "2024-01-06 08:00:00"),
+    ("full_card", "v2", -3.6, {"charge_per_month": 0.006, "services_count": -0.05, "contract_risk_score": 1.4, "payment_risk_score": 0.1, "tenure_group_Established Customer": -1.1, "tenure_group_Growing Customer": -0.6, "tenure_group_Loyal Customer": -1.1, "tenure_group_New Customer": 1.6}, "2024-01-13 08:00:00"),
+]
+FEATURES = ["charge_per_month", "services_count", "contract_risk_score", "payment_risk_score", "tenure_group_Established Customer", "tenure_group_Growing Customer", "tenure_group_Loyal Customer", "tenure_group_New Customer"]
+
+
+def logit(i: int) -> str:
+    _, _, intercept, coefs, _ = MODELS[i]
+    return f"{intercept}::double" + "".join(f' + ({coefs[f]}::double)*"{f}"' for f in FEATURES if f in coefs)
+
+
+def probability(i: int) -> str:
+    return f"round(1.0/(1.0+exp(-({logit(i)}))),6)"
+
+
+def feature_sql(source: str, extra: str = "") -> str:
+    """The model inputs of a raw customer source."""
+    dummies = ", ".join(f"""case when ({TENURE_MODEL})='{f[13:]}' then 1 else 0 end "{f}\"""" for f in FEATURES[4:])
+    return f"""select customer_id, case when churn='Yes' then 1 else 0 end churn_label, total_charges/(case when tenure=0 then 1 else tenure end) charge_per_month, {SERVICES} services_count,
+      {CONTRACT_RISK} contract_risk_score, {PAYMENT_RISK} payment_risk_score, {dummies}{extra} from {source}"""
+
+
 def _duck(text: str) -> str:
     return text.replace("{STR}", "varchar").replace("{customer}", "customer").replace("{orders}", "orders").replace(
         "{events}", "events").replace("{AGE}", "datediff('day', o.last_dt, (select max(o_orderdate) from orders))")
@@ -140,11 +168,46 @@ CTES = {
     "t_pc": f"""select customer_id, {TENURE_MODEL} tenure_group, total_charges/(case when tenure=0 then 1 else tenure end) charge_per_month,
       {SERVICES} services_count, {CONTRACT_RISK} contract_risk_score, {PAYMENT_RISK} payment_risk_score,
       case when churn='Yes' then 1 else 0 end churn_label, cast(null as double) churn_probability, cast(null as varchar) risk_segment from t_rc""",
+    "t_feat": feature_sql("t_rc"),
+    "t_split": """select customer_id, churn_label, case when rn<=floor(n*0.2+0.5) then 'test' else 'train' end split from (select customer_id, churn_label,
+      row_number() over (partition by churn_label order by md5(concat(customer_id,'#42'))) rn, count(*) over (partition by churn_label) n from t_pc) x""",
+    "t_scored": " union all ".join(f"select {i + 1} model_id, '{m[0]}' model_name, '{m[1]}' model_version, customer_id, churn_label, {probability(i)} churn_probability from t_feat" for i, m in enumerate(MODELS)),
+    "t_test": "select t_scored.* from t_scored semi join (select customer_id from t_split where split='test') s using (customer_id)",
+    "t_reg": "",
+    "t_runs": """select row_number() over (order by d) id, 'daily_pipeline' pipeline_name, case when errors>avg(errors) over () then 'failed' else 'success' end status, n rows_processed,
+      n/1000.0::double duration_seconds, concat(errors, ' error events') details, d::timestamp run_at from (select ts::date d, count(*) n, count(*) filter (where event_type='error') errors from events group by 1) e""",
+    "t_alerts": """select event_id id, 'event_value' alert_type, case when value>200 then 'critical' else 'warning' end severity, concat('event ', event_id, ' of user ', user_id) message, ts created_at
+      from events where event_type='error' and value>100""",
+    "t_snaps": f"select {rnd('avg(churn_probability)', 6)} mean_score, archived_at::date::timestamp snapshot_at from t_h group by 2",
     "t_latest": """select customer_id, churn_probability prev_probability, risk_segment prev_segment, archived_at from (
       select *, row_number() over (partition by customer_id order by archived_at desc, id desc) rn from t_h) x where rn=1""",
 }
 
 
+def metrics_sql(source: str, by: str = "") -> str:
+    """accuracy, auc, f1, precision, recall per group; AUC from the mid-ranks of all rows."""
+    part, group, sel = (f"partition by {by}", f"group by {by}", f"{by},") if by else ("", "", "")
+    return f"""select {sel} {rnd('(tp+tn)/(1.0::double*(tp+tn+fp+fn))', 6)} as accuracy, {rnd('(rank_sum-pos*(pos+1)/2.0::double)/(1.0::double*pos*neg)', 6)} as auc, {rnd('coalesce(2.0::double*tp/nullif(2*tp+fp+fn,0),0)', 6)} as f1,
+      {rnd('coalesce(1.0::double*tp/nullif(tp+fp,0),0)', 6)} as precision, {rnd('coalesce(1.0::double*tp/nullif(tp+fn,0),0)', 6)} as recall from (
+      select {sel} sum(churn_label) pos, sum(1-churn_label) neg, sum(churn_label*mid) rank_sum, count(*) filter (where churn_probability>=0.5 and churn_label=1) tp, count(*) filter (where churn_probability>=0.5 and churn_label=0) fp,
+      count(*) filter (where churn_probability<0.5 and churn_label=1) fn, count(*) filter (where churn_probability<0.5 and churn_label=0) tn from (
+      select *, rank() over ({part} order by churn_probability) + (count(*) over (partition by {sel} churn_probability)-1)/2.0::double mid from {source}) r {group}) c"""
+
+
+_TRAINED = "case model_id " + " ".join(f"when {i + 1} then timestamp '{m[4]}'" for i, m in enumerate(MODELS)) + " end"
+CTES["t_reg"] = f"""select id, model_name, model_version, accuracy, auc_score, f1_score, trained_at, row_number() over (order by auc_score desc, id)=1 is_active from (
+  select model_id::bigint id, model_name, model_version, accuracy, auc auc_score, f1 f1_score, {_TRAINED} trained_at from ({metrics_sql('t_test', 'model_id, model_name, model_version')}) m) g"""
+
+
+def psi_sql(source: str) -> str:
+    """(feature, psi, e_mean, a_mean) of a long source (split, feature, value)."""
+    return f"""select feature, {rnd('sum((ap-ep)*ln(ap/ep))', 4)} psi, sum(es)/sum(e) e_mean, sum(as_)/sum(a) a_mean from (
+      select *, case when e=0 then 0.0001 else e/sum(e) over (partition by feature) end::double ep, case when a=0 then 0.0001 else a/sum(a) over (partition by feature) end::double ap from (
+      select feature, bucket, count(*) filter (where split='train') e, count(*) filter (where split='test') a, sum(case when split='train' then value else 0 end) es, sum(case when split='test' then value else 0 end) as_ from (
+      select s.*, len(list_filter(edges, lambda x: x<=round(value,9))) bucket from {source} s join (
+      select feature, list_distinct(list_transform(quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), lambda x: round(x,9))) edges from {source} t where split='train' group by 1) q using (feature)) b group by 1,2) c) d group by 1"""
+
+
 def with_ctes(sql: str) -> str:
     """Prefix the query with the common table expressions it needs, dependencies first."""
     order: list[str] = []

@@ -5,9 +5,14 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from checks import sqltext
-from holdfast.operators import features, scoring
+from holdfast import constants as K
+from holdfast.functions.lookups import lookup
+from holdfast.functions.rounding import half_up
+from holdfast.operators import evaluation, features, registry, scoring
+from holdfast.plans.strata import stratified_split
 from holdfast.sources.tables import work_dir
 
 
@@ -59,6 +64,74 @@ class Tables:
     def holes(self) -> DataFrame:
         return self._sql(sqltext.HOLES, t_rc=self.rc)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """Customers with label and model inputs."""
+        return features.with_churn_label(features.model_features(self.rc)).select(
+            "customer_id", "churn_label", *[F.col(f"`{f}`") for f in K.MODEL_FEATURES])
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return stratified_split(self.pc.select("customer_id", "churn_label"), "churn_label", "customer_id")
+
+    @property
+    def split_features(self) -> DataFrame:
+        return stratified_split(self.features, "churn_label", "customer_id")
+
+    @cached_property
+    def models(self) -> list[scoring.LinearScorer]:
+        return [scoring.LinearScorer(*m[:4]) for m in sqltext.MODELS]
+
+    @cached_property
+    def card(self) -> scoring.LinearScorer:
+        return self.models[4]
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Scores of all models for all customers, in long form."""
+        return scoring.score_models(self.features, self.models, ["customer_id", "churn_label"])
+
+    @cached_property
+    def test(self) -> DataFrame:
+        """The same for the test part."""
+        return scoring.score_models(self.split_features.where("split = 'test'"), self.models, ["customer_id", "churn_label"])
+
+    @cached_property
+    def reg(self) -> DataFrame:
+        """Model registry: measured metrics of the scorecards, the best one active."""
+        by = ["model_id", "model_name", "model_version"]
+        trained = {i + 1: m[4] for i, m in enumerate(sqltext.MODELS)}
+        rows = evaluation.evaluate(self.test, by).select(
+            F.col("model_id").cast("long").alias("id"), "model_name", "model_version", "accuracy", F.col("auc").alias("auc_score"),
+            F.col("f1").alias("f1_score"), lookup(F.col("model_id"), trained).cast("timestamp_ntz").alias("trained_at"),
+        )
+        return registry.activate_best(rows)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Run log: one run per day of events, failed on days with more errors than on average."""
+        daily = self.given("events").groupBy(F.to_date("ts").alias("d")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+        mean = daily.agg(F.avg("errors")).scalar()
+        return daily.select(
+            F.row_number().over(W.orderBy("d")).cast("long").alias("id"), F.lit("daily_pipeline").alias("pipeline_name"),
+            F.when(F.col("errors") > mean, "failed").otherwise("success").alias("status"), F.col("n").alias("rows_processed"),
+            (F.col("n") / 1000.0).alias("duration_seconds"), F.concat(F.col("errors").cast("string"), F.lit(" error events")).alias("details"),
+            F.col("d").cast("timestamp_ntz").alias("run_at"))
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        bad = self.given("events").where("event_type = 'error' and value > 100")
+        return bad.select(
+            F.col("event_id").alias("id"), F.lit("event_value").alias("alert_type"), F.when(F.col("value") > 200, "critical").otherwise("warning").alias("severity"),
+            F.format_string("event %d of user %d", "event_id", "user_id").alias("message"), F.col("ts").alias("created_at"))
+
+    @cached_property
+    def snaps(self) -> DataFrame:
+        """Score snapshots: the mean archived score of each day."""
+        return self.h.groupBy(F.to_date("archived_at").cast("timestamp_ntz").alias("snapshot_at")).agg(
+            half_up(F.avg("churn_probability"), 6).alias("mean_score"))
+
     @cached_property
     def folder(self) -> str:
         """A fresh folder in the shared work directory."""
