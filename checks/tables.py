@@ -1,4 +1,7 @@
-"""The engine's tables as DataFrames, derived lazily from the given parquet tables."""
+"""The engine's tables, derived by Spark from the given parquet tables.
+
+The base tables of the schema are written as Parquet once per session, as a deployment would hold
+them; the queries read those files."""
 
 import uuid
 from functools import cached_property
@@ -16,6 +19,28 @@ from holdfast.plans.strata import stratified_split
 from holdfast.sources.tables import work_dir
 
 
+# tables written in this process: (application, input folder, table)
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build):
+    """A table that is derived once per session, written to the shared folder and read from there."""
+    name = build.__name__
+
+    def read(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = f"{work_dir(self.spark)}/tables/{key[0]}/{uuid.uuid4().hex}/{name}"
+            build(self).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    read.__name__, read.__doc__ = name, build.__doc__
+    prop = cached_property(read)
+    prop.__set_name__(None, name)
+    return prop
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -32,11 +57,11 @@ class Tables:
             "{AGE}", "datediff((select max(o_orderdate) from {orders}), o.last_dt)")
         return self.spark.sql(text, **frames)
 
-    @cached_property
+    @stored
     def rc(self) -> DataFrame:
         return self._sql(sqltext.RAW_CUSTOMERS, customer=self.given("customer"), orders=self.given("orders"))
 
-    @cached_property
+    @stored
     def pc(self) -> DataFrame:
         return features.build_processed(self.rc)
 
@@ -48,11 +73,11 @@ class Tables:
         at = F.lit("2024-01-30 23:00:00").cast("timestamp_ntz") - age
         return scored.withColumn("model_version", F.lit("scorecard_v1")).withColumn("predicted_at", at)
 
-    @cached_property
+    @stored
     def cp(self) -> DataFrame:
         return scoring.backfill(self.base, self.now).drop("monthly_charges")
 
-    @cached_property
+    @stored
     def h(self) -> DataFrame:
         return self._sql(sqltext.HISTORY, events=self.given("events"))
 
@@ -70,13 +95,13 @@ class Tables:
         return features.with_churn_label(features.model_features(self.rc)).select(
             "customer_id", "churn_label", *[F.col(f"`{f}`") for f in K.MODEL_FEATURES])
 
-    @cached_property
+    @stored
     def split(self) -> DataFrame:
         return stratified_split(self.pc.select("customer_id", "churn_label"), "churn_label", "customer_id")
 
     @property
     def split_features(self) -> DataFrame:
-        return stratified_split(self.features, "churn_label", "customer_id")
+        return self.features.join(self.split.select("customer_id", "split"), "customer_id")
 
     @cached_property
     def models(self) -> list[scoring.LinearScorer]:
@@ -94,9 +119,9 @@ class Tables:
     @cached_property
     def test(self) -> DataFrame:
         """The same for the test part."""
-        return scoring.score_models(self.split_features.where("split = 'test'"), self.models, ["customer_id", "churn_label"])
+        return scoring.score_models(self.features.join(self.split.where("split = 'test'"), "customer_id", "left_semi"), self.models, ["customer_id", "churn_label"])
 
-    @cached_property
+    @stored
     def reg(self) -> DataFrame:
         """Model registry: measured metrics of the scorecards, the best one active."""
         by = ["model_id", "model_name", "model_version"]
@@ -107,7 +132,7 @@ class Tables:
         )
         return registry.activate_best(rows)
 
-    @cached_property
+    @stored
     def runs(self) -> DataFrame:
         """Run log: one run per day of events, failed on days with more errors than on average."""
         daily = self.given("events").groupBy(F.to_date("ts").alias("d")).agg(
@@ -119,14 +144,14 @@ class Tables:
             (F.col("n") / 1000.0).alias("duration_seconds"), F.concat(F.col("errors").cast("string"), F.lit(" error events")).alias("details"),
             F.col("d").cast("timestamp_ntz").alias("run_at"))
 
-    @cached_property
+    @stored
     def alerts(self) -> DataFrame:
         bad = self.given("events").where("event_type = 'error' and value > 100")
         return bad.select(
             F.col("event_id").alias("id"), F.lit("event_value").alias("alert_type"), F.when(F.col("value") > 200, "critical").otherwise("warning").alias("severity"),
             F.format_string("event %d of user %d", "event_id", "user_id").alias("message"), F.col("ts").alias("created_at"))
 
-    @cached_property
+    @stored
     def snaps(self) -> DataFrame:
         """Score snapshots: the mean archived score of each day."""
         return self.h.groupBy(F.to_date("archived_at").cast("timestamp_ntz").alias("snapshot_at")).agg(

@@ -5,13 +5,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from holdfast import constants as K
 from holdfast.functions import risk as R
 from holdfast.functions.customer import churned
 from holdfast.functions.rounding import half_up
-from holdfast.plans.ordered import quantiles, value_counts
+from holdfast.plans.ordered import quantile_aggregates, running_totals
 
 DIGITS = 9  # edges and values are compared at this precision
 
@@ -23,34 +22,30 @@ def psi_table(df: DataFrame, columns: Sequence[str], split: str = "split", expec
     merge. A bucket that one side leaves empty counts with a small share. Both sides are reduced to
     counts per distinct value first; edges, buckets and means all come from those counts.
     """
-    counts = value_counts(df.where(F.col(split).isin(expected, actual)), columns, [split])
+    sides = df.where(F.col(split).isin(expected, actual))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    long = sides.select(F.explode(pairs).alias("_p"), (F.col(split) == expected).cast("int").alias("_e")).select("_p.*", "_e")
+    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("_e").alias("e"), F.sum(1 - F.col("_e")).alias("a"))
+
     probs = [i / buckets for i in range(1, buckets)]
-    cut = quantiles(counts.where(F.col(split) == expected).drop(split), probs, ["feature"])
-    edges = cut.select("feature", F.array_distinct(F.transform("quantiles", lambda e: F.round(e, DIGITS))).alias("_edges"))
-    # fewer than `buckets` edges per column of the schema
-    placed = counts.join(F.broadcast(edges), "feature")
-    x = F.round("value", DIGITS)
-    placed = placed.withColumn("_x", x).withColumn("bucket", F.size(F.filter("_edges", lambda e: e <= F.col("_x"))))
-
-    def side(name: str, what: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col(split) == name, what)), F.lit(0))
-
-    mass = F.col("value") * F.col("n")
-    filled = placed.groupBy("feature", "bucket").agg(
-        side(expected, F.col("n")).alias("e"), side(actual, F.col("n")).alias("a"), side(expected, mass).alias("es"), side(actual, mass).alias("as")
+    spans = running_totals(counts, "value", ["e", "a"], ["feature"])
+    cut = spans.groupBy("feature").agg(
+        F.array(*quantile_aggregates(probs, "e")).alias("q"), F.max("e_upto").alias("e_total"), F.max("a_upto").alias("a_total")
     )
-    whole = W.partitionBy("feature")  # at most `buckets` rows per feature
+    edges = cut.select("feature", F.array_distinct(F.transform("q", lambda e: F.round(e, DIGITS))).alias("_edges"), "e_total", "a_total")
+    # one row per column of the schema, with fewer than `buckets` edges
+    placed = counts.join(F.broadcast(edges), "feature").withColumn("_x", F.round("value", DIGITS))
+    bucket = F.size(F.filter("_edges", lambda e: e <= F.col("_x")))
+    mass = [(F.col("value") * F.col(s)).alias(f"{s}_mass") for s in ("e", "a")]
+    placed = placed.select("feature", bucket.alias("bucket"), "e", "a", "e_total", "a_total", *mass)
+    filled = placed.groupBy("feature", "bucket", "e_total", "a_total").agg(*[F.sum(c).alias(c) for c in ("e", "a", "e_mass", "a_mass")])
 
     def share(c: str) -> Column:
-        part = F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1))
-        return F.when(F.col(c) == 0, F.lit(K.PSI_EPSILON)).otherwise(part)
-
-    shares = filled.withColumns({"e_share": share("e"), "a_share": share("a")})
-    term = (F.col("a_share") - F.col("e_share")) * F.ln(F.col("a_share") / F.col("e_share"))
-    table = shares.groupBy("feature").agg(
-        half_up(F.sum(term), 4).alias("psi"),
-        (F.sum("es") / F.nullif(F.sum("e"), F.lit(0))).alias("expected_mean"), (F.sum("as") / F.nullif(F.sum("a"), F.lit(0))).alias("actual_mean"),
-    )
+        return F.when(F.col(c) == 0, F.lit(K.PSI_EPSILON)).otherwise(F.col(c) / F.greatest(F.col(f"{c}_total"), F.lit(1)))
+
+    term = (share("a") - share("e")) * F.ln(share("a") / share("e"))
+    means = [(F.sum(f"{s}_mass") / F.nullif(F.sum(s), F.lit(0))).alias(f"{name}_mean") for s, name in (("e", "expected"), ("a", "actual"))]
+    table = filled.groupBy("feature").agg(half_up(F.sum(term), 4).alias("psi"), *means)
     return table.select("feature", "psi", R.psi_status(F.col("psi")).alias("status"), "expected_mean", "actual_mean")
 
 

@@ -9,7 +9,7 @@ balance the work: every result is exact wherever they fall.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,27 +26,30 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
     """Add `<s>_upto` (inclusive running total along `order`) and `<s>_total` for each summed column.
 
-    `df` holds one row per (by, order). `by` names schema-sized groups (features, models, folds),
-    so the cut points (one row per group) and the cell totals (at most `cells` + 1 rows per group)
-    are small by construction and safe to broadcast.
+    `df` holds one row per (by, order), with no columns but `by`, `order` and `sums`. It is read three
+    times. Each read needs all of its columns (the two tests below see to that), so the reads are
+    equal plans and Spark runs the shuffle behind `df` once. `by` names schema-sized groups
+    (features, models, folds): the cut points (one row per group) and the cell totals (at most
+    `cells` rows per group) are small by construction and safe to broadcast.
     """
     by = list(by)
     probes = [i / cells for i in range(1, cells)]
-    cuts = F.array_distinct(F.percentile_approx(order, probes, 100 * cells))
+    facts = [F.array_distinct(F.percentile_approx(order, probes, 100 * cells)).alias("_cuts")]
+    facts += [F.sum(s).alias(f"{s}_total") for s in sums]
+    any_total = F.coalesce(*[F.col(f"{s}_total") for s in sums]).isNotNull()
     if by:
-        celled = df.join(F.broadcast(df.groupBy(*by).agg(cuts.alias("_cuts"))), by)
+        celled = df.join(F.broadcast(df.groupBy(*by).agg(*facts).where(any_total)), by)
     else:
-        celled = df.withColumn("_cuts", df.agg(cuts).scalar())
-    celled = celled.withColumn("_cell", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
+        whole = df.agg(*facts).where(any_total).select(F.struct("*")).scalar()
+        celled = df.withColumn("_f", whole).select(*df.columns, "_f.*")
+    # never NULL, or the join on it would push a NULL test of this expression down to the raw rows
+    cell = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))
+    celled = celled.withColumn("_cell", cell).drop("_cuts")
 
     below = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
-    offsets = celled.groupBy(*by, "_cell").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    offsets = offsets.select(
-        *by, "_cell",
-        *[F.coalesce(F.sum(f"_{s}").over(below), F.lit(0)).alias(f"_{s}_below") for s in sums],
-        *[F.sum(f"_{s}").over(whole).alias(f"{s}_total") for s in sums],
-    )
+    per_cell = celled.groupBy(*by, "_cell").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    per_cell = per_cell.where(F.coalesce(*[F.col(f"_{s}") for s in sums]).isNotNull())
+    offsets = per_cell.select(*by, "_cell", *[F.coalesce(F.sum(f"_{s}").over(below), F.lit(0)).alias(f"_{s}_below") for s in sums])
     within = W.partitionBy(*by, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = celled.join(F.broadcast(offsets), [*by, "_cell"])
     return out.select(
@@ -56,26 +59,25 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     )
 
 
+def quantile_aggregates(probs: Sequence[float], weight: str = "n") -> list[Column]:
+    """Aggregates over `running_totals` that find, for each p, the values at the ranks around p*(n-1)."""
+
+    def at_rank(rank: Column) -> Column:
+        holds = (F.col(f"{weight}_upto") > rank) & (F.col(f"{weight}_upto") - F.col(weight) <= rank)
+        return F.max(F.when(holds, F.col("value")))
+
+    picks = []
+    for p in probs:
+        place = F.lit(float(p)) * (F.col(f"{weight}_total") - 1)
+        low, high = at_rank(F.floor(place)), at_rank(F.ceil(place))
+        picks.append(low + (high - low) * F.max(place - F.floor(place)))
+    return picks
+
+
 def quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ("feature",)) -> DataFrame:
     """Exact interpolated quantiles of weighted values: (by..., n, quantiles array).
 
     `counts` is (by..., value, n). A quantile at p sits at rank p*(n-1), linearly between neighbours.
     """
     spans = running_totals(counts, "value", ["n"], by)
-
-    def at_rank(rank):
-        holds = (F.col("n_upto") > rank) & (F.col("n_upto") - F.col("n") <= rank)
-        return F.max(F.when(holds, F.col("value")))
-
-    picks = [F.max("n_total").alias("n")]
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n_total") - 1)
-        picks += [
-            at_rank(F.floor(place)).alias(f"_lo{i}"),
-            at_rank(F.ceil(place)).alias(f"_hi{i}"),
-            F.max(place - F.floor(place)).alias(f"_t{i}"),
-        ]
-    mixed = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_t{i}")) for i in range(len(probs))
-    ]
-    return spans.groupBy(*by).agg(*picks).select(*by, "n", F.array(*mixed).alias("quantiles"))
+    return spans.groupBy(*by).agg(F.max("n_total").alias("n"), F.array(*quantile_aggregates(probs)).alias("quantiles"))
