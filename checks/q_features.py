@@ -6,6 +6,7 @@ from holdfast import constants as K
 from holdfast.functions import risk as R
 from holdfast.functions.rounding import half_up
 from holdfast.operators import features as P
+from holdfast.operators import scoring as S
 
 _NUM = {c: f"coalesce(try_cast(trim(cast({c} as varchar)) as double), (select quantile_cont(try_cast(trim(cast({c} as varchar)) as double),0.5) from t_holes))" for c in K.NUMERIC_COLUMNS}
 
@@ -49,7 +50,7 @@ def _(t):
 
 @query("P08_build_processed", f"select * replace ({rnd('charge_per_month', 6)} as charge_per_month) from t_pc")
 def _(t):
-    return t.pc.withColumn("charge_per_month", half_up(F.col("charge_per_month"), 6))
+    return P.build_processed(t.rc).withColumn("charge_per_month", half_up(F.col("charge_per_month"), 6))
 
 
 @query("P09_charge_tier", "select customer_id, case when monthly_charges<35 then 'low' when monthly_charges<70 then 'medium' else 'high' end as tier from t_rc")
@@ -113,7 +114,7 @@ def _(t):
 
 @query("P18_expected_loss", f"select customer_id, {rnd('monthly_charges*churn_probability', 2)} as estimated_revenue_at_risk from t_base")
 def _(t):
-    return t.cp.select("customer_id", "estimated_revenue_at_risk")
+    return S.backfill(t.base, t.now).select("customer_id", "estimated_revenue_at_risk")
 
 
 @query("P19_days_since", f"select customer_id, {days_between('predicted_at')} as days_since_prediction from t_cp")

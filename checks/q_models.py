@@ -8,20 +8,24 @@ from holdfast.operators import quality as Q
 from holdfast.operators import registry as G
 from holdfast.operators import scoring as S
 from holdfast.operators import value as V
-from holdfast.plans.strata import stratified_folds
+from holdfast.plans.strata import stratified_folds, stratified_split
 
 BY = ["model_name", "model_version"]
 _BY = "model_name, model_version"
 
 
+def _split(t):
+    return stratified_split(t.pc.select("customer_id", "churn_label"), "churn_label", "customer_id")
+
+
 @query("M01_stratified_split", "select customer_id, churn_label, split from t_split")
 def _(t):
-    return t.split
+    return _split(t)
 
 
 @query("M01_split_balance", "select split, churn_label, count(*) as n from t_split group by 1,2")
 def _(t):
-    return Q.class_balance(t.split, by=["split"])
+    return Q.class_balance(_split(t), by=["split"])
 
 
 @query("M08_ensemble_scores", f"select customer_id, churn_label, {rnd('avg(churn_probability)', 6)} as churn_probability from t_scored group by 1,2")
