@@ -19,7 +19,6 @@ from holdfast.operators.scoring import LinearScorer
 from holdfast.plans.pick import top_per_key
 
 DIGITS = 6
-FACTOR = "struct<feature:string,feature_value:double,shap_value:double,direction:string>"
 
 
 def feature_means(features: DataFrame, model: LinearScorer) -> Column:
@@ -27,8 +26,12 @@ def feature_means(features: DataFrame, model: LinearScorer) -> Column:
     return features.agg(F.struct(*[F.avg(F.col(f"`{f}`")).alias(f) for f, _ in model.terms()])).scalar()
 
 
-def with_factors(features: DataFrame, model: LinearScorer) -> DataFrame:
-    """Add `base_value` and `factors`: one entry per feature, strongest first (ties by feature order)."""
+def _contributions(features: DataFrame, model: LinearScorer) -> tuple[DataFrame, list[str], list[Column]]:
+    """(frame with value, contribution and rank columns per feature, those columns, factor structs).
+
+    A feature's rank is one more than the number of stronger features (ties by feature order). The
+    feature list is short, so comparing it with itself inside generated code beats sorting an array.
+    """
     terms = model.terms()
     out = features.withColumn("_means", feature_means(features, model))
 
@@ -38,33 +41,46 @@ def with_factors(features: DataFrame, model: LinearScorer) -> DataFrame:
     base = F.lit(float(model.intercept))
     for f, coef in terms:
         base = base + F.lit(float(coef)) * mean(f)
-    keyed = []
-    for place, (f, coef) in enumerate(terms):
-        x = F.col(f"`{f}`").cast("double")
-        value = half_up(F.lit(float(coef)) * (x - mean(f)), DIGITS)
-        direction = F.when(value > 0, F.lit("increases risk")).otherwise(F.lit("decreases risk"))
-        keyed.append(F.struct(
-            (-F.abs(value)).alias("k"), F.lit(place).alias("i"),
-            F.struct(F.lit(f).alias("feature"), half_up(x, DIGITS).alias("feature_value"), value.alias("shap_value"), direction.alias("direction")).alias("f"),
+    added = {f"_v{i}": F.round(F.lit(float(coef)) * (F.col(f"`{f}`") - mean(f)), DIGITS) for i, (f, coef) in enumerate(terms)}
+    added |= {f"_x{i}": F.round(F.col(f"`{f}`").cast("double"), DIGITS) for i, (f, _) in enumerate(terms)}
+    out = out.withColumns({**added, "base_value": F.round(base, DIGITS)}).drop("_means")
+    ranks = {}
+    for i in range(len(terms)):
+        mine, rank = F.abs(f"_v{i}"), F.lit(1)
+        for j in range(len(terms)):
+            if j != i:
+                other = F.abs(f"_v{j}")
+                rank = rank + (other >= mine if j < i else other > mine).cast("int")
+        ranks[f"_r{i}"] = rank
+    out = out.withColumns(ranks)
+    structs = []
+    for i, (f, _) in enumerate(terms):
+        direction = F.when(F.col(f"_v{i}") > 0, F.lit("increases risk")).otherwise(F.lit("decreases risk"))
+        structs.append(F.struct(
+            F.col(f"_r{i}").alias("rank"), F.lit(f).alias("feature"), F.col(f"_x{i}").alias("feature_value"),
+            F.col(f"_v{i}").alias("shap_value"), direction.alias("direction"),
         ))
-    # the list is as long as the feature list, so the ranking stays inside the row
-    ordered = F.transform(F.array_sort(F.array(*keyed)), lambda e: e["f"])
-    return out.withColumns({"base_value": half_up(base, DIGITS), "factors": ordered}).drop("_means")
+    return out, [*added, *ranks], structs
+
+
+def with_factors(features: DataFrame, model: LinearScorer) -> DataFrame:
+    """Add `base_value` and `factors`: one entry per feature, strongest first."""
+    out, helpers, structs = _contributions(features, model)
+    ordered = F.transform(F.array_sort(F.array(*structs)), lambda e: e.dropFields("rank"))
+    return out.withColumn("factors", ordered).drop(*helpers)
 
 
 def explain(rc: DataFrame, model: LinearScorer, keep: Sequence[str] = ("customer_id",)) -> DataFrame:
     """(customer, base value, rank, feature, value, contribution, direction) for every customer."""
-    rows = with_factors(model_features(rc), model)
-    return rows.select(*keep, "base_value", F.posexplode("factors").alias("_i", "_f")).select(
-        *keep, "base_value", (F.col("_i") + 1).alias("rank"), "_f.*"
-    )
+    out, _, structs = _contributions(model_features(rc), model)
+    return out.select(*keep, "base_value", F.inline(F.array(*structs)))
 
 
 def _mean_abs(features: DataFrame, model: LinearScorer) -> Column:
     """Array of (feature, mean |contribution|) as an aggregate expression; needs `_means`."""
     entries = []
     for f, coef in model.terms():
-        value = F.abs(half_up(F.lit(float(coef)) * (F.col(f"`{f}`") - F.col("_means").getField(f)), DIGITS))
+        value = F.abs(F.round(F.lit(float(coef)) * (F.col(f"`{f}`") - F.col("_means").getField(f)), DIGITS))
         entries.append(F.struct(F.lit(f).alias("feature"), half_up(F.avg(value), DIGITS).alias("mean_abs_shap")))
     return F.array(*entries)
 

@@ -74,8 +74,8 @@ def similar_customers(df: DataFrame, k: int = 5) -> DataFrame:
 
     Exact without comparing customers in pairs. Equal tenures form a cell, and a cell can only give
     its k+1 smallest ids to anybody (one may be the customer itself). The k nearest others lie in
-    the own cell or the k+1 nearest filled cells on either side, so each cell collects candidates
-    from that window and every customer ranks the candidates of its own cell.
+    the own cell or the k+1 nearest filled cells on either side. So every cell ranks the candidates
+    of that window once and keeps k+1; a customer takes the list of its cell and leaves itself out.
     """
     group = ["risk_segment", "contract"]
     member = F.struct("customer_id", "tenure", "monthly_charges", "churn_probability")
@@ -85,14 +85,14 @@ def similar_customers(df: DataFrame, k: int = 5) -> DataFrame:
     cells = givers.groupBy(*group, "tenure").agg(F.collect_list(member).alias("members"))
     near = W.partitionBy(*group).orderBy("tenure").rowsBetween(-(k + 1), k + 1)
     pools = cells.select(*group, "tenure", F.flatten(F.collect_list("members").over(near)).alias("pool"))
-
-    probes = df.select("customer_id", *group, "tenure").join(pools, [*group, "tenure"])
-    others = F.filter("pool", lambda m: m["customer_id"] != F.col("customer_id"))
-    keyed = F.transform(others, lambda m: F.struct(
+    keyed = F.transform("pool", lambda m: F.struct(
         F.abs(m["tenure"] - F.col("tenure")).alias("tenure_diff"), m["customer_id"].alias("similar_id"),
         m["tenure"].alias("similar_tenure"), m["monthly_charges"].alias("similar_charges"),
         m["churn_probability"].alias("similar_probability"),
     ))
-    best = F.slice(F.array_sort(keyed), 1, k)
-    ranked = probes.select("customer_id", *group, F.posexplode(best).alias("_place", "_s"))
+    lists = pools.select(*group, "tenure", F.slice(F.array_sort(keyed), 1, k + 1).alias("nearest"))
+
+    probes = df.select("customer_id", *group, "tenure").join(lists, [*group, "tenure"])
+    others = F.slice(F.filter("nearest", lambda m: m["similar_id"] != F.col("customer_id")), 1, k)
+    ranked = probes.select("customer_id", *group, F.posexplode(others).alias("_place", "_s"))
     return ranked.select("customer_id", *group, (F.col("_place") + 1).alias("rank"), "_s.*")
