@@ -1,4 +1,4 @@
-"""Run registered queries against DuckDB: python -m checks.compare <sf_dir> [name prefix ...]."""
+"""Run registered queries against DuckDB: python -m checks.compare <sf_dir> [--exact] [name prefix ...]."""
 
 import math
 import sys
@@ -28,9 +28,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = "--exact" in sys.argv
+
+
 def _plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else (v if EXACT else round(v, 6)) + 0.0
     if isinstance(v, bool):
         return v
     return v
@@ -61,7 +64,7 @@ def compare(spark: SparkSession, con, sf_dir: str, build, sql: str) -> str:
 def main() -> None:
     from checks.catalog import ORACLES, QUERIES
 
-    sf_dir, wanted = sys.argv[1], sys.argv[2:]
+    sf_dir, wanted = sys.argv[1], [a for a in sys.argv[2:] if not a.startswith("--")]
     spark, con = local_session(), connect(sf_dir)
     bad = 0
     for name, build in QUERIES.items():

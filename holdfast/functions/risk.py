@@ -47,8 +47,7 @@ def expected_loss(charges: Column, p: Column) -> Column:
 
 def whole_days(since: Column, now: Column) -> Column:
     """Complete 24-hour days between two zoneless timestamps, truncated toward zero."""
-    seconds = F.timestamp_diff("SECOND", since, now)
-    return F.when(seconds >= 0, F.floor(seconds / 86400)).otherwise(F.ceil(seconds / 86400)).cast("int")
+    return F.extract(F.lit("DAY"), now - since).cast("int")
 
 
 def expected_months(p: Column) -> Column:

@@ -57,7 +57,13 @@ def stream_score(rows: DataFrame, store: TableStore, model, checkpoint: str, now
 
 
 def daily_windows(h: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Average score and count per day of `archived_at`; rows later than `lateness` are dropped."""
+    """Average score and count per day of `archived_at`; rows later than `lateness` are dropped.
+
+    A watermark needs a zoned timestamp and day windows are cut in UTC, so the session must be in UTC.
+    """
+    zone = h.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"daily windows need a UTC session, not {zone}")
     timed = h.withColumn("event_time", F.col("archived_at").cast("timestamp"))
     daily = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 day")).agg(
         F.avg("churn_probability").alias("avg_probability"), F.count("*").alias("n")
