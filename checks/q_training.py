@@ -8,7 +8,11 @@ from checks.registry import query
 from checks.sqltext import rnd
 from holdfast import constants as K
 from holdfast.functions.rounding import half_up
+from holdfast.operators import balancing as B
 from holdfast.operators import evaluation as E
+from holdfast.operators import features as P
+from holdfast.operators import quality as Q
+from holdfast.sources.tables import TableStore
 from holdfast.operators import modeling as M
 from holdfast.operators import scoring as S
 from holdfast.operators import trees
@@ -101,3 +105,19 @@ def _(t):
 @query("X01_explain_trees")
 def _(t):
     return trees.explain_trees(t.features, M.fit_gbt(_parts(t)[0], rounds=5, depth=4))
+
+
+def _balanced(t):
+    return B.smote(P.with_churn_label(P.engineer(t.rc)), TableStore(t.spark, t.folder), "2024-01-31")
+
+
+@query("M15_smote")
+def _(t):
+    return _balanced(t)
+
+
+@query("M15_class_balance", """select 'after' as stage, churn_label, max(n) over () as n from (select churn_label, count(*) n from t_pc group by 1) a
+ union all select 'before', churn_label, count(*) from t_pc group by 2""")
+def _(t):
+    after = Q.class_balance(_balanced(t)).withColumn("stage", F.lit("after"))
+    return after.unionByName(Q.class_balance(t.pc).withColumn("stage", F.lit("before")))

@@ -15,8 +15,14 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings above to a session."""
+def tune(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+    """Apply the runtime settings above to a session.
+
+    On a cluster pass a partition count that keeps a shuffle partition near 200 MB (for 100 TB some
+    hundred thousand); AQE joins small ones afterwards.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return spark

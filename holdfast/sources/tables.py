@@ -23,6 +23,12 @@ def work_dir(spark: SparkSession) -> str:
     return shared or tempfile.mkdtemp(prefix="holdfast-")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Give the context a checkpoint folder if it has none yet."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_dir(spark))
+
+
 class TableStore:
     """The engine's tables under one base folder."""
 
