@@ -94,9 +94,11 @@ def churn_rate_drift(tagged: DataFrame) -> DataFrame:
 
 
 def drift_metrics(features: DataFrame, scored: DataFrame) -> DataFrame:
-    """(metric, psi): the scores and every feature."""
-    scores = psi_table(scored, ["churn_probability"]).select(F.lit("prediction_scores").alias("metric"), "psi")
-    return scores.unionByName(psi_table(features, K.MODEL_FEATURES).select(F.col("feature").alias("metric"), "psi"))
+    """(metric, psi): the scores and every feature, from one pass over the joined table."""
+    both = features.join(scored.select("customer_id", "churn_probability"), "customer_id", "left")
+    table = psi_table(both, [*K.MODEL_FEATURES, "churn_probability"])
+    metric = F.when(F.col("feature") == "churn_probability", F.lit("prediction_scores")).otherwise(F.col("feature"))
+    return table.select(metric.alias("metric"), "psi")
 
 
 def monitoring_report(metrics: DataFrame, model_name: Column) -> DataFrame:

@@ -63,38 +63,33 @@ def confusion(scored: DataFrame, by: Sequence[str] = (), threshold: float = 0.5)
     return rows.groupBy(*by).agg(*[c.alias(n) for n, c in _confusion(threshold).items()])
 
 
-def _tails(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per distinct score: tp and fp when everything from that score up is called positive."""
-    spans = running_totals(score_counts(scored, by), "score", ["pos", "neg"], by)
-    return spans.select(
-        *by, F.col("score").alias("threshold"), (F.col("pos_total") - F.col("pos_upto") + F.col("pos")).alias("tp"),
-        (F.col("neg_total") - F.col("neg_upto") + F.col("neg")).alias("fp"), "pos_total", "neg_total",
-    )
-
+def _curve(scored: DataFrame, by: Sequence[str], point, end: Mapping[str, float]) -> DataFrame:
+    """A curve point per distinct score, and the end point (no threshold) after the highest score.
 
-def _with_end(points: DataFrame, by: Sequence[str], end: Mapping[str, float]) -> DataFrame:
-    """Add the curve's end point without a threshold, one per group."""
-    groups = points.select(*by).distinct() if by else points.sparkSession.range(1).select()
-    extra = groups.select(*by, F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(c) for c, v in end.items()])
-    return points.unionByName(extra, allowMissingColumns=True)
+    `point(tp, fp, pos, neg)` gives the named values when everything from a score up is positive.
+    """
+    spans = running_totals(score_counts(scored, by), "score", ["pos", "neg"], by)
+    tp = F.col("pos_total") - F.col("pos_upto") + F.col("pos")
+    fp = F.col("neg_total") - F.col("neg_upto") + F.col("neg")
+    values = point(tp, fp, F.col("pos_total"), F.col("neg_total"))
+    own = F.struct(F.col("score").alias("threshold"), *[half_up(v, 6).alias(n) for n, v in values.items()])
+    last = F.struct(F.lit(None).cast("double").alias("threshold"), *[F.lit(end.get(n)).cast("double").alias(n) for n in values])
+    is_highest = (F.col("pos_upto") == F.col("pos_total")) & (F.col("neg_upto") == F.col("neg_total"))
+    return spans.select(*by, F.inline(F.when(is_highest, F.array(own, last)).otherwise(F.array(own))))
 
 
 def roc_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, and the origin."""
-    points = _tails(scored, by).select(
-        *by, "threshold", half_up(_ratio(F.col("fp"), F.col("neg_total")), 6).alias("fpr"), half_up(_ratio(F.col("tp"), F.col("pos_total")), 6).alias("tpr")
-    )
-    return _with_end(points, by, {"fpr": 0.0, "tpr": 0.0})
+    return _curve(scored, by, lambda tp, fp, pos, neg: {"fpr": _ratio(fp, neg), "tpr": _ratio(tp, pos)}, {"fpr": 0.0, "tpr": 0.0})
 
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, precision, recall, f1) for every distinct score, and the end at recall 0."""
-    points = _tails(scored, by).select(
-        *by, "threshold", half_up(_ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"),
-        half_up(_ratio(F.col("tp"), F.col("pos_total")), 6).alias("recall"),
-        half_up(_f1(F.col("tp"), F.col("fp"), F.col("pos_total") - F.col("tp")), 6).alias("f1"),
-    )
-    return _with_end(points, by, {"precision": 1.0, "recall": 0.0})
+
+    def point(tp: Column, fp: Column, pos: Column, neg: Column) -> dict[str, Column]:
+        return {"precision": _ratio(tp, tp + fp), "recall": _ratio(tp, pos), "f1": _f1(tp, fp, pos - tp)}
+
+    return _curve(scored, by, point, {"precision": 1.0, "recall": 0.0})
 
 
 def best_f1_threshold(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +129,10 @@ def leaderboard(scored: DataFrame, by: Sequence[str] = ("model_name", "model_ver
 
 def compare_versions(metrics: DataFrame, baseline: str, challenger: str, name: str = "model_name", version: str = "model_version") -> DataFrame:
     """Baseline and challenger of each model side by side, with the AUC change."""
-    # one row per model version
-    old = metrics.where(F.col(version) == baseline).select(name, *[F.col(m).alias(f"baseline_{m}") for m in ("accuracy", "auc", "f1")])
-    new = metrics.where(F.col(version) == challenger).select(name, *[F.col(m).alias(f"tuned_{m}") for m in ("accuracy", "auc", "f1")])
-    return old.join(new, name).withColumn("auc_delta", half_up(F.col("tuned_auc") - F.col("baseline_auc"), 6))
+    def of(which: str, metric: str) -> Column:
+        return F.max(F.when(F.col(version) == which, F.col(metric)))
+
+    shown = ("accuracy", "auc", "f1")
+    sides = [of(v, m).alias(f"{tag}_{m}") for v, tag in ((baseline, "baseline"), (challenger, "tuned")) for m in shown]
+    both = metrics.groupBy(name).agg(*sides).where(F.col("baseline_auc").isNotNull() & F.col("tuned_auc").isNotNull())
+    return both.withColumn("auc_delta", half_up(F.col("tuned_auc") - F.col("baseline_auc"), 6))

@@ -11,12 +11,12 @@ from holdfast.functions.rounding import half_up
 from holdfast.plans.pick import latest_per_key
 
 
-def register(registry: DataFrame, entries: DataFrame) -> DataFrame:
-    """Append training runs, with ids after the greatest one, inactive."""
+def register(registry: DataFrame, entries: DataFrame, active: bool = False) -> DataFrame:
+    """Append training runs, with ids after the greatest one."""
     start = F.coalesce(registry.agg(F.max("id")).scalar(), F.lit(0))
     # a batch of training runs: a handful of rows
     place = F.row_number().over(W.orderBy("trained_at", "model_name", "model_version"))
-    new = entries.withColumn("id", (start + place).cast("long")).withColumn("is_active", F.lit(False))
+    new = entries.withColumn("id", (start + place).cast("long")).withColumn("is_active", F.lit(active))
     return registry.unionByName(new.select(*registry.columns))
 
 
@@ -31,8 +31,7 @@ def activate_best(registry: DataFrame) -> DataFrame:
 
 def deploy(registry: DataFrame, entry: DataFrame) -> DataFrame:
     """Append one run with its measured metrics and make it the active one."""
-    grown = register(registry, entry)
-    return _activate(grown, grown.agg(F.max("id")).scalar())
+    return register(registry.withColumn("is_active", F.lit(False)), entry, active=True)
 
 
 def rollback(registry: DataFrame) -> DataFrame:
