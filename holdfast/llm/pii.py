@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored, text_of
@@ -210,6 +210,9 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts by kind and the spans as text, in place of text and spans."""
     joined = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.array_join(F.transform(F.filter("spans", lambda x: x["kind"].isin(*KINDS)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     more = F.size(F.filter("spans", lambda x: ~x["kind"].isin(*KINDS))).cast("long").alias("n_terms")
-    return found.select(id_col, *counts, F.sha2(base, 256).alias("base_sha256"), joined.alias("spans"), more)
+    return found.select(id_col, *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), joined.alias("spans"), more)
