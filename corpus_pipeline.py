@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, exact_dedup, toxicity
+from holdfast.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from holdfast.llm.common import stored, table
 from holdfast.llm.queries import vocabulary
 
@@ -19,12 +19,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class that n-gram Jaccard links of 0.8 connect, the one of the smallest id."""
+    return jaccard_join.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of smaller sources up to 1.5 times on average."""
+    return mixing.mixed(docs, MIX)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, as digests."""
     return bpe.encode_digests(docs, vocabulary())
 
 
-STAGES = [("toxicity", toxic), ("exact dedup", exact), ("bpe", encoded)]
+MIX = mixing.Mix(entropy=0.95, passes=1.5, budget=None)
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixed), ("bpe", encoded)]
 
 #: A trained model, MinHash and the tokenizer have no SQL form.
 ORACLE_SQL = None

@@ -95,18 +95,24 @@ def buckets(codes: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
         inside = inside[:-1] if n == 2 else inside[:-1] & ~space[n - 2 : -1]
         if n >= s.shortest:
             # a space next to itself never occurs, so a gram that is all border cannot either
-            yield (_mixed(h[inside] + np.uint64(n)) >> shift).astype(np.int32)
+            yield (mixed(h[inside] + np.uint64(n)) >> shift).astype(np.int32)
     at = np.flatnonzero(space)
     if len(at) > 1:
-        total = np.cumsum(c * POWERS[: len(c)])
-        words = (total[at[1:] - 1] - total[at[:-1]]) * INVERSES[at[:-1] + 1]
-        yield (_mixed(words) >> shift).astype(np.int32)
-        pairs = _mixed(words[:-1] * MULTIPLIER + words[1:] + np.uint64(2))
+        words = word_hashes(codes)
+        yield (mixed(words) >> shift).astype(np.int32)
+        pairs = mixed(words[:-1] * MULTIPLIER + words[1:] + np.uint64(2))
         pairs[words[:-1] == words[1:]] = 0
         yield (pairs >> shift).astype(np.int32)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def word_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each word of a piece: differences of one running sum, brought to the same power."""
+    at = np.flatnonzero(codes == 32)
+    total = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * POWERS[: len(codes)])
+    return (total[at[1:] - 1] - total[at[:-1]]) * INVERSES[at[:-1] + 1]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the hash over its high bits."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
