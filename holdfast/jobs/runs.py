@@ -1,4 +1,4 @@
-"""Run log around a job: a row for success, a row and the error for failure."""
+"""Run log around a job: a row for success, a row, the error and an alert for failure."""
 
 import time
 from collections.abc import Callable
@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators import registry
+from holdfast.operators import drift, registry
 from holdfast.sources.tables import TableStore
 
 
@@ -17,9 +17,11 @@ def recorded(store: TableStore, name: str, run_id: str, now: Column, work: Calla
     try:
         rows, details = work()
     except Exception as error:
-        failed = registry.record_run(name, "failed", F.lit(0), time.time() - start, F.lit(str(error)[:500]), now, one)
-        store.write("pipeline_runs", failed, f"{run_id}-{name}")
+        failed = registry.record_run(name, "failed", F.lit(0), time.time() - start, F.lit(str(error)), now, one)
+        store.write("pipeline_runs", failed, f"{run_id}-{name}", "append")
+        alert = drift.failure_alerts(failed).select(F.xxhash64("alert_type", F.lit(name), now).alias("id"), "*", now.alias("created_at"))
+        store.write("alerts", alert, f"{run_id}-{name}", "append")
         raise
     done = registry.record_run(name, "success", F.lit(rows), time.time() - start, F.lit(details), now, one)
-    store.write("pipeline_runs", done, f"{run_id}-{name}")
+    store.write("pipeline_runs", done, f"{run_id}-{name}", "append")
     return done

@@ -1,11 +1,16 @@
-"""Tables as Parquet directories with one `run_id` partition per run.
-
-A snapshot table is read at its greatest run id, a log table over all runs. A rerun with the same id
-replaces only its own partition, so a job that is started again after a failure adds nothing twice,
-and no job overwrites files that it is reading. Run ids sort as text (for example ISO times).
+"""Tables as Parquet folders with a commit list, shared by batch and streaming jobs.
+
+A run writes its rows to `<table>/run_id=<run>/attempt=<id>` and, when they are complete, adds an empty
+marker file to `<table>/_commits`. The marker's name holds everything a reader needs: place in the
+order of commits, whether the run replaces the table or adds to it, run and attempt. Readers list that
+folder (names only) and read exactly the parts that count, so half-written runs are invisible and old
+runs are never scanned. A run that is started again takes its old place in the order and its new
+attempt replaces the old one; its readers see the table as it was before the run (`before`).
 """
 
 import tempfile
+import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +18,22 @@ from pyspark.sql import types as T
 
 from holdfast import schemas
 
+# application id -> folder, for sessions on one machine without a configured folder
+_LOCAL: dict[str, str] = {}
+
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for written tables and checkpoints, as the cluster names it.
+    """Shared folder for written tables and checkpoints: `spark.checkpoint.dir`.
 
-    Only a session without the setting (tests in one process) gets a temporary folder.
+    Only a session on a single machine may go without the setting and gets one temporary folder; on a
+    cluster the executors could not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared or tempfile.mkdtemp(prefix="holdfast-")
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="holdfast-"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,6 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
 
 
+class Commit(NamedTuple):
+    place: int
+    mode: str
+    run_id: str
+    attempt: str
+
+
 class TableStore:
     """The engine's tables under one base folder."""
 
@@ -38,33 +58,59 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, name: str, df: DataFrame, run_id: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path(name)}/run_id={run_id}")
+    def _files(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def commits(self, name: str) -> list[Commit]:
+        """The newest attempt of each run, in the order in which the runs were first committed."""
+        fs, folder = self._files(f"{self.path(name)}/_commits")
+        if not fs.exists(folder):
+            return []
+        found = sorted(Commit(int(p), m, r, a) for p, m, r, a in (f.getPath().getName().split("~") for f in fs.listStatus(folder)))
+        runs: dict[str, Commit] = {}
+        for c in found:
+            runs[c.run_id] = Commit(runs[c.run_id].place if c.run_id in runs else c.place, c.mode, c.run_id, c.attempt)
+        return sorted(runs.values())
+
+    def write(self, name: str, df: DataFrame, run_id: str, mode: str = "replace") -> None:
+        """Write a run's rows, which replace the table or are appended to it, and commit them."""
+        if mode not in ("replace", "append") or "~" in run_id or "/" in run_id:
+            raise ValueError(f"Unknown mode or unusable run id: {mode}, {run_id}")
+        attempt = uuid.uuid4().hex
+        df.write.parquet(f"{self.path(name)}/run_id={run_id}/attempt={attempt}")
+        fs, folder = self._files(f"{self.path(name)}/_commits")
+        # one writer per table at a time: jobs are scheduled, not concurrent
+        last = max((int(f.getPath().getName().split("~")[0]) for f in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{last + 1:012d}~{mode}~{run_id}~{attempt}"), False).close()
 
     def exists(self, name: str) -> bool:
-        jvm, path = self.spark._jvm, self.path(name)
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return bool(self.commits(name))
 
-    def log(self, name: str) -> DataFrame:
-        """Rows of every run; an absent table is empty."""
+    def _read(self, name: str, commits: list[Commit]) -> DataFrame:
         schema = schemas.TABLES.get(name)
-        if not self.exists(name):
+        if not commits:
             if schema is None:
                 raise ValueError(f"no table {name} under {self.base}")
             return self.spark.createDataFrame([], schema).withColumn("run_id", F.lit(None).cast("string"))
-        reader = self.spark.read
+        reader = self.spark.read.option("basePath", self.path(name))
         if schema is not None:
-            reader = reader.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType())]))
-        return reader.parquet(self.path(name)).withColumn("run_id", F.col("run_id").cast("string"))
+            reader = reader.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType()), T.StructField("attempt", T.StringType())]))
+        rows = reader.parquet(*[f"{self.path(name)}/run_id={c.run_id}/attempt={c.attempt}" for c in commits])
+        return rows.drop("attempt").withColumn("run_id", F.col("run_id").cast("string"))
+
+    def log(self, name: str) -> DataFrame:
+        """Rows of every run; an absent table is empty."""
+        return self._read(name, self.commits(name))
 
     def snapshot(self, name: str, before: str | None = None) -> DataFrame:
-        """Rows of the newest run (of the newest run before `before`, so that a rerun sees its own input)."""
-        rows = self.log(name)
+        """The table as it is (or was before the run `before`): the newest replacing run and all that were appended after it."""
+        commits = self.commits(name)
         if before is not None:
-            rows = rows.where(F.col("run_id") < before)
-        newest = rows.agg(F.max("run_id")).scalar()
-        return rows.where(F.col("run_id") == newest).drop("run_id")
+            end = next((i for i, c in enumerate(commits) if c.run_id == before), len(commits))
+            commits = commits[:end]
+        start = max((i for i, c in enumerate(commits) if c.mode == "replace"), default=0)
+        return self._read(name, commits[start:]).drop("run_id")
 
 
 def load_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Micro-batch versions of ingest, scoring and the daily trend.
 
-The batch jobs write each micro-batch under its own run id and look only at earlier runs, so a batch
-that is replayed after a failure replaces its own output and nothing else. They keep no state of
-their own: what is known is read from the tables.
+Each micro-batch is committed to the same tables as the batch jobs use, as rows appended under a run id
+of its own. It looks only at what was committed before it, so a batch that is replayed after a failure
+replaces its own output and nothing else. The streams keep no state: what is known is read from the
+tables.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from holdfast import schemas
 from holdfast.operators import ingest, scoring
-from holdfast.operators.joins import unscored_customers
+from holdfast.plans.pick import first_per_key
 from holdfast.sources.tables import TableStore
 
 
-def run_id(batch: int) -> str:
-    """Run id of a micro-batch; sorts in batch order."""
-    return f"batch-{batch:012d}"
+def run_id(stream: str, batch: int) -> str:
+    """Run id of a micro-batch. Streams into one table need names of their own."""
+    return f"{stream}-{batch:012d}"
 
 
 def landing_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -27,31 +29,29 @@ def landing_stream(spark: SparkSession, path: str, schema: T.StructType, files_p
     return reader.parquet(path)
 
 
-def stream_ingest(rows: DataFrame, store: TableStore, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Append valid customers with unknown ids to `raw_customers` (a log of batches)."""
+def stream_ingest(rows: DataFrame, store: TableStore, checkpoint: str, order: list[str], name: str = "ingest") -> StreamingQuery:
+    """Append valid customers with unknown ids to `raw_customers`, rejected rows whole to the quarantine."""
 
     def add(batch: DataFrame, number: int) -> None:
-        this = run_id(number)
+        this = run_id(name, number)
         good, quarantine, _ = ingest.prepare(batch, order)
-        known = store.log("raw_customers").where(F.col("run_id") < this)
-        fresh = ingest.new_rows(good, known)
-        schema_columns = [c for c in store.log("raw_customers").columns if c != "run_id"]
-        store.write("raw_customers", fresh.select(*schema_columns), this)
-        store.write("quarantine", quarantine.select("customer_id", "violations"), this)
+        fresh = ingest.new_rows_of_few(good, store.snapshot("raw_customers", before=this))
+        store.write("raw_customers", fresh.select(*schemas.RAW_CUSTOMERS.names), this, "append")
+        store.write("quarantine", quarantine, this, "append")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_score(rows: DataFrame, store: TableStore, model, checkpoint: str, now: Column) -> StreamingQuery:
-    """Score customers without a score and append them to the predictions (a log of batches)."""
+def stream_score(rows: DataFrame, store: TableStore, model, checkpoint: str, now: Column, order: list[str] | None = None, name: str = "score") -> StreamingQuery:
+    """Score customers without a score and append them to the predictions; of several rows the first by `order` (all columns if not given) counts."""
 
     def add(batch: DataFrame, number: int) -> None:
-        this = run_id(number)
-        scored_before = store.log("churn_predictions").where(F.col("run_id") < this).drop("run_id")
-        first = batch.dropDuplicates(["customer_id"])
-        fresh = scoring.score(unscored_customers(first, scored_before), model, now)
+        this = run_id(name, number)
+        scored_before = store.snapshot("churn_predictions", before=this)
+        first = first_per_key(batch, ["customer_id"], order or batch.columns)
+        fresh = scoring.score(ingest.new_rows_of_few(first, scored_before), model, now)
         current, _ = scoring.publish_scores(fresh, scored_before.limit(0), now, "new")
-        store.write("churn_predictions", current, this)
+        store.write("churn_predictions", current, this, "append")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
