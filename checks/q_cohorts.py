@@ -35,6 +35,11 @@ def _(t):
     return C.retention_pivot(t.rc, t.now, None)
 
 
+@query("A32_retention_by_contract", f"select * from (unpivot (select cohort_week, month_to_month as \"Month-to-month\", one_year as \"One year\", two_year as \"Two year\" from ({_PIVOT}) p) on \"Month-to-month\", \"One year\", \"Two year\" into name contract value retention_rate_pct) u")
+def _(t):
+    return C.retention_by_contract(t.rc, t.now)
+
+
 @query("A33_best_cohort", f"select * from ({COHORTS}) b where cohort_size>=5 order by retention_rate_pct desc, cohort_week limit 1")
 def _(t):
     return C.best_cohort(C.cohort_table(t.rc, t.now))

@@ -22,6 +22,11 @@ def band(col: Column, bounds: Sequence[float], labels: Sequence[str], closed: st
     return F.when(col.isNotNull(), out.otherwise(F.lit(labels[-1])))
 
 
+def listed(col: Column, levels: Sequence[str]) -> Column:
+    """`col`, or an error when a row holds anything else than the listed levels (a pivot would drop it silently)."""
+    return F.when(col.isin(*levels), col).otherwise(F.raise_error(F.concat(F.lit("Unlisted level: "), F.coalesce(col, F.lit("NULL")))).cast("string"))
+
+
 def position(col: Column, levels: Sequence[str]) -> Column:
     """1-based place of `col` in a fixed order; NULL when it is not listed."""
     return lookup(col, {level: i + 1 for i, level in enumerate(levels)})

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from holdfast import constants as K
 from holdfast.functions.customer import churned
+from holdfast.functions.lookups import listed
 from holdfast.functions.rounding import half_up, rate_pct
 from holdfast.operators.features import with_implied_join
 
@@ -27,11 +28,17 @@ def cohort_table(rc: DataFrame, reference: Column) -> DataFrame:
     return table.withColumn("retention_rate_pct", half_up(100.0 - F.col("churn_rate_pct"), 2)).orderBy("cohort_week")
 
 
-def retention_pivot(rc: DataFrame, reference: Column, weeks: int | None = 20) -> DataFrame:
-    """Retention rate per cohort week and contract, for the latest `weeks` cohorts (None: all)."""
+def retention_by_contract(rc: DataFrame, reference: Column) -> DataFrame:
+    """Retention rate per cohort week and contract, in long form: whatever contracts the data hold."""
     weekly = with_implied_join(rc.select("customer_id", "tenure", "churn", "contract"), reference).where(F.col("join_week").isNotNull())
     kept = half_up(100.0 - F.lit(100.0) * _churned_sum() / F.nullif(F.count("customer_id"), F.lit(0)), 2)
-    pivot = weekly.groupBy(F.col("join_week").alias("cohort_week")).pivot("contract", K.CONTRACTS).agg(kept)
+    return weekly.groupBy(F.col("join_week").alias("cohort_week"), "contract").agg(kept.alias("retention_rate_pct"))
+
+
+def retention_pivot(rc: DataFrame, reference: Column, weeks: int | None = 20) -> DataFrame:
+    """The same with a column for each known contract, for the latest `weeks` cohorts (None: all); other contracts are an error."""
+    long = retention_by_contract(rc, reference).withColumn("contract", listed(F.col("contract"), K.CONTRACTS))
+    pivot = long.groupBy("cohort_week").pivot("contract", K.CONTRACTS).agg(F.max("retention_rate_pct"))
     named = pivot.withColumnsRenamed({c: c.lower().replace("-", "_").replace(" ", "_") for c in K.CONTRACTS})
     return named.orderBy(F.desc("cohort_week")).limit(weeks) if weeks else named.orderBy("cohort_week")
 

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from holdfast import constants as K
 from holdfast.functions.customer import churned
-from holdfast.functions.rounding import half_up, rate_pct
+from holdfast.functions.rounding import exact_sum, half_up, rate_pct
 from holdfast.plans.ordered import running_totals
 from holdfast.plans.pick import latest_per_key
 from holdfast.plans.summary import stack_sections
@@ -30,14 +30,14 @@ def score_drift(cp: DataFrame, h: DataFrame) -> DataFrame:
     return _with_previous(cp, h).select(
         "customer_id", "prev_probability", F.col("churn_probability").alias("current_probability"),
         half_up(change, 4).alias("score_change"), "prev_segment", F.col("risk_segment").alias("current_segment"),
-    ).orderBy(F.desc(F.abs(F.col("current_probability") - F.col("prev_probability"))), "customer_id")
+    )
 
 
 def moved(cp: DataFrame, h: DataFrame, source: str, target: str) -> DataFrame:
     """Customers whose segment went from `source` to `target`."""
     now = cp.where(F.col("risk_segment") == target)
     pairs = _with_previous(now, h).where(F.col("prev_segment") == source)
-    return pairs.select("customer_id", "churn_probability", "prev_segment", F.col("risk_segment").alias("current_segment")).orderBy(F.desc("churn_probability"), "customer_id")
+    return pairs.select("customer_id", "churn_probability", "prev_segment", F.col("risk_segment").alias("current_segment"))
 
 
 def all_predictions(cp: DataFrame, h: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def segment_trend(cp: DataFrame, rc: DataFrame, h: DataFrame) -> DataFrame:
     joined = cp.select("customer_id", "churn_probability", "risk_segment").join(rc.select("customer_id", "monthly_charges"), "customer_id")
     current = joined.groupBy(F.col("risk_segment").alias("segment")).agg(
         F.count("*").alias("customer_count"), half_up(F.avg("churn_probability"), 4).alias("avg_churn_probability"),
-        half_up(F.sum("monthly_charges"), 2).alias("revenue_at_risk"),
+        half_up(exact_sum("monthly_charges"), 2).alias("revenue_at_risk"),
     )
     previous = latest_history(h).groupBy(F.col("prev_segment").alias("segment")).agg(F.count("*").alias("prev_count"))
     # one row per segment
@@ -200,7 +200,7 @@ def kpi_deltas(customers: DataFrame, h: DataFrame) -> DataFrame:
     known = F.col("prev_segment").isNotNull()
 
     def revenue(segment: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col(segment).isin("High", "Medium"), charges)), F.lit(0.0))
+        return F.coalesce(exact_sum(F.when(F.col(segment).isin("High", "Medium"), charges)).cast("double"), F.lit(0.0))
 
     row = both.agg(
         F.avg(y).alias("rate"), F.avg(F.when(known, y)).alias("prev_rate"), F.count_if(known).alias("n_prev"),

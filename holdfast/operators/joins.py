@@ -92,7 +92,8 @@ def similar_customers(df: DataFrame, k: int = 5) -> DataFrame:
     ))
     lists = pools.select(*group, "tenure", F.slice(F.array_sort(keyed), 1, k + 1).alias("nearest"))
 
-    probes = df.select("customer_id", *group, "tenure").join(lists, [*group, "tenure"])
+    # one short list per segment, contract and tenure in months: bounded by the schema
+    probes = df.select("customer_id", *group, "tenure").join(F.broadcast(lists), [*group, "tenure"])
     others = F.slice(F.filter("nearest", lambda m: m["similar_id"] != F.col("customer_id")), 1, k)
     ranked = probes.select("customer_id", *group, F.posexplode(others).alias("_place", "_s"))
     return ranked.select("customer_id", *group, (F.col("_place") + 1).alias("rank"), "_s.*")

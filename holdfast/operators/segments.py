@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from holdfast import constants as K
 from holdfast.functions import customer as C
 from holdfast.functions import risk as R
-from holdfast.functions.rounding import half_up
+from holdfast.functions.rounding import exact_avg, exact_sum, half_up
 from holdfast.plans.ordered import quantiles, value_counts
 from holdfast.plans.summary import with_levels
 
@@ -52,9 +52,9 @@ def segment_matrix(df: DataFrame) -> DataFrame:
 def segment_characteristics(df: DataFrame) -> DataFrame:
     return df.groupBy("value_segment", "risk_segment").agg(
         F.count("*").alias("customers"), half_up(F.avg("tenure"), 1).alias("avg_tenure"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"),
         half_up(F.avg("churn_probability"), 4).alias("avg_churn_probability"),
-        half_up(F.sum("monthly_charges"), 2).alias("total_monthly_revenue"),
+        half_up(exact_sum("monthly_charges"), 2).alias("total_monthly_revenue"),
     ).orderBy(F.desc("value_segment"), F.desc("risk_segment"))
 
 
@@ -72,7 +72,7 @@ def segment_sizes(df: DataFrame) -> DataFrame:
 def segment_kpis(df: DataFrame) -> DataFrame:
     high_value = F.col("value_segment") == "High"
     return df.agg(
-        F.count("*").alias("total_customers"), half_up(F.sum("monthly_charges"), 2).alias("total_monthly_revenue"),
+        F.count("*").alias("total_customers"), half_up(exact_sum("monthly_charges"), 2).alias("total_monthly_revenue"),
         F.count_if(high_value).alias("high_value_customers"),
         F.count_if(high_value & (F.col("risk_segment") == "High")).alias("high_value_high_risk"),
     )
@@ -88,7 +88,7 @@ def compare_segments(cp: DataFrame, rc: DataFrame) -> DataFrame:
 
     table = joined.groupBy(F.col("risk_segment").alias("segment")).agg(
         F.count("*").alias("customer_count"), half_up(F.avg("tenure"), 1).alias("avg_tenure_months"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"),
         share(F.col("contract") == "Month-to-month").alias("pct_month_to_month"),
         share(F.col("payment_method") == "Electronic check").alias("pct_electronic_check"),
         share(F.col("online_security") == "No").alias("pct_no_online_security"),

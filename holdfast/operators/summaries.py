@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from holdfast import constants as K
 from holdfast.functions import customer as C
-from holdfast.functions.lookups import position
-from holdfast.functions.rounding import half_up, rate_pct
+from holdfast.functions.lookups import listed, position
+from holdfast.functions.rounding import exact_avg, exact_sum, half_up, rate_pct
 from holdfast.plans.pick import top_per_key
 from holdfast.plans.summary import explode_dimensions, stack_sections, with_levels
 
@@ -69,7 +69,7 @@ def services_count_summary(rc: DataFrame) -> DataFrame:
     return rc.groupBy(C.services_count().alias("services_count")).agg(
         F.count("*").alias("customer_count"),
         rate_pct(F.sum(churn), F.count("*")).alias("churn_rate_pct"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"),
     )
 
 
@@ -79,7 +79,7 @@ def top_addon_combinations(rc: DataFrame, n: int = 10) -> DataFrame:
     parts = [F.concat(F.lit(names.get(c, c) + "="), F.coalesce(F.col(c), F.lit(""))) for c in K.ADDON_COLUMNS]
     churners = rc.where(F.col("churn") == "Yes")
     combos = churners.groupBy(F.concat_ws(",", *parts).alias("segment")).agg(
-        F.count("*").alias("customer_count"), half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges")
+        F.count("*").alias("customer_count"), half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges")
     )
     share = rate_pct(F.col("customer_count"), combos.agg(F.sum("customer_count")).scalar())
     return combos.withColumn("pct_of_churners", share).orderBy(F.desc("customer_count"), "segment").limit(n)
@@ -109,8 +109,8 @@ def churn_by_tenure(rc: DataFrame, cp: DataFrame) -> DataFrame:
     table = scored.groupBy(group).agg(
         F.count("*").alias("customer_count"),
         rate_pct(F.sum(C.churned(F.col("churn"))), F.count("*")).alias("churn_rate_pct"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"),
-        half_up(F.sum(at_risk), 2).alias("revenue_at_risk"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"),
+        half_up(exact_sum(at_risk), 2).alias("revenue_at_risk"),
     )
     return table.orderBy(position(F.col("tenure_group"), K.TENURE_LABELS_SQL))
 
@@ -129,7 +129,7 @@ def risk_segments(cp: DataFrame, rc: DataFrame) -> DataFrame:
     # one aggregate per (segment, contract): at most a handful of rows to finish from
     fine = joined.groupBy("risk_segment", "contract").agg(
         F.count("*").alias("n"),
-        F.sum("monthly_charges").alias("charges"), F.count("monthly_charges").alias("n_charges"),
+        exact_sum("monthly_charges").alias("charges"), F.count("monthly_charges").alias("n_charges"),
         F.sum("tenure").alias("tenure"), F.count("tenure").alias("n_tenure"),
     )
     stats = fine.groupBy("risk_segment").agg(
@@ -173,7 +173,7 @@ def project_stats(rc: DataFrame, cp: DataFrame, registry: DataFrame) -> DataFram
         F.struct(F.count("*").alias("n"), F.count_if(F.col("risk_segment") == "High").alias("high"))
     ).scalar()
     at_risk = cp.where(F.col("risk_segment").isin("High", "Medium")).join(rc.select("customer_id", "monthly_charges"), "customer_id")
-    revenue = at_risk.agg(half_up(F.coalesce(F.sum("monthly_charges"), F.lit(0.0)), 2)).scalar()
+    revenue = at_risk.agg(half_up(F.coalesce(exact_sum("monthly_charges").cast("double"), F.lit(0.0)), 2)).scalar()
     active = registry.where("is_active").agg(F.max_by(F.struct("model_name", "auc_score", "trained_at"), F.struct("auc_score", -F.col("id")))).scalar()
     return people.select(
         "total_customers", "churn_rate_pct",
@@ -204,11 +204,16 @@ def churn_rate_by(rc: DataFrame, column: str) -> DataFrame:
     return rc.groupBy(column).agg(F.count("*").alias("customers"), rate).orderBy(F.desc("churn_rate_pct"), column)
 
 
-def tenure_contract_pivot(rc: DataFrame) -> DataFrame:
-    """Churn share per tenure group (rows) and contract (columns)."""
+def churn_by_tenure_contract(rc: DataFrame) -> DataFrame:
+    """Churn share per tenure group and contract, in long form: whatever contracts the data hold."""
     group = C.tenure_group(F.col("tenure"), K.TENURE_LABELS_MODEL)
     cells = rc.select(group.alias("tenure_group"), "contract", C.churned(F.col("churn")).alias("y"))
-    cells = cells.where(F.col("tenure_group").isNotNull())
-    pivot = cells.groupBy("tenure_group").pivot("contract", K.CONTRACTS).agg(half_up(F.avg("y"), 4))
+    return cells.where(F.col("tenure_group").isNotNull()).groupBy("tenure_group", "contract").agg(half_up(F.avg("y"), 4).alias("churn_share"))
+
+
+def tenure_contract_pivot(rc: DataFrame) -> DataFrame:
+    """The same with tenure groups as rows and the known contracts as columns; other contracts are an error."""
+    long = churn_by_tenure_contract(rc).withColumn("contract", listed(F.col("contract"), K.CONTRACTS))
+    pivot = long.groupBy("tenure_group").pivot("contract", K.CONTRACTS).agg(F.max("churn_share"))
     named = pivot.withColumnsRenamed({c: c.lower().replace("-", "_").replace(" ", "_") for c in K.CONTRACTS})
     return with_levels(named, "tenure_group", K.TENURE_LABELS_MODEL, {})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from holdfast import constants as K
 from holdfast.functions import risk as R
-from holdfast.functions.rounding import half_up
+from holdfast.functions.rounding import exact_avg, exact_sum, half_up
 
 AT_RISK = ("High", "Medium")
 
@@ -20,32 +20,32 @@ def _clv() -> Column:
 
 def revenue_by_segment(cp: DataFrame, rc: DataFrame) -> DataFrame:
     return _joined(cp, rc).groupBy("risk_segment").agg(
-        F.count("*").alias("customer_count"), half_up(F.sum("monthly_charges"), 2).alias("monthly_revenue_at_risk"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"),
+        F.count("*").alias("customer_count"), half_up(exact_sum("monthly_charges"), 2).alias("monthly_revenue_at_risk"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"),
     ).orderBy(F.desc("monthly_revenue_at_risk"))
 
 
 def revenue_at_risk(cp: DataFrame, rc: DataFrame, segments: tuple[str, ...] = ("High",)) -> DataFrame:
     """Monthly revenue of the urgent segment (High only; pass AT_RISK for the wider reading)."""
     at_risk = _joined(cp.where(F.col("risk_segment").isin(*segments)), rc)
-    return at_risk.agg(half_up(F.coalesce(F.sum("monthly_charges"), F.lit(0.0)), 2).alias("revenue_at_risk"))
+    return at_risk.agg(half_up(F.coalesce(exact_sum("monthly_charges").cast("double"), F.lit(0.0)), 2).alias("revenue_at_risk"))
 
 
 def clv_by_segment(cp: DataFrame, rc: DataFrame) -> DataFrame:
     return _joined(cp, rc).groupBy("risk_segment").agg(
-        F.count("*").alias("customer_count"), half_up(F.avg(_clv()), 2).alias("avg_clv"), half_up(F.sum(_clv()), 2).alias("total_clv")
+        F.count("*").alias("customer_count"), half_up(exact_avg(_clv()), 2).alias("avg_clv"), half_up(exact_sum(_clv()), 2).alias("total_clv")
     ).orderBy(F.desc("total_clv"))
 
 
 def clv_at_risk(cp: DataFrame, rc: DataFrame) -> DataFrame:
     return _joined(cp.where(F.col("risk_segment") == "High"), rc).agg(
-        F.count("*").alias("high_risk_customers"), half_up(F.sum(_clv()), 2).alias("total_clv_at_risk"), half_up(F.avg(_clv()), 2).alias("avg_clv_at_risk")
+        F.count("*").alias("high_risk_customers"), half_up(exact_sum(_clv()), 2).alias("total_clv_at_risk"), half_up(exact_avg(_clv()), 2).alias("avg_clv_at_risk")
     )
 
 
 def revenue_saved_by_segment(cp: DataFrame, rc: DataFrame) -> DataFrame:
     return _joined(cp.where(F.col("risk_segment").isin(*AT_RISK)), rc).groupBy("risk_segment").agg(
-        F.count("*").alias("customer_count"), half_up(F.sum(_clv()), 2).alias("revenue_saved_if_prevented")
+        F.count("*").alias("customer_count"), half_up(exact_sum(_clv()), 2).alias("revenue_saved_if_prevented")
     ).orderBy(F.desc("revenue_saved_if_prevented"))
 
 
@@ -54,7 +54,7 @@ def revenue_saved_by_segment(cp: DataFrame, rc: DataFrame) -> DataFrame:
 
 def _tier_stats(cp: DataFrame, rc: DataFrame) -> DataFrame:
     tiered = _joined(cp.where(F.col("retention_priority").isNotNull()), rc)
-    return tiered.groupBy("retention_priority").agg(F.count("*").alias("customers_targeted"), F.avg("monthly_charges").alias("avg_charges"))
+    return tiered.groupBy("retention_priority").agg(F.count("*").alias("customers_targeted"), exact_avg("monthly_charges").alias("avg_charges"))
 
 
 def _recovered(n: str = "customers_targeted", rate: float = K.SUCCESS_RATE) -> Column:
@@ -99,7 +99,7 @@ def break_even_by_tier(cp: DataFrame, rc: DataFrame, cost: float = K.CAMPAIGN_CO
 
 def expected_savings(cp: DataFrame, rc: DataFrame, cost: float = K.CAMPAIGN_COST, rate: float = K.SUCCESS_RATE) -> DataFrame:
     stats = _joined(cp.where(F.col("risk_segment").isin(*AT_RISK)), rc).groupBy("risk_segment").agg(
-        F.count("*").alias("customer_count"), F.avg("monthly_charges").alias("avg_charges")
+        F.count("*").alias("customer_count"), exact_avg("monthly_charges").alias("avg_charges")
     )
     return stats.select(
         "risk_segment", "customer_count", half_up(F.col("customer_count") * F.lit(cost), 2).alias("campaign_cost"),
@@ -111,7 +111,7 @@ def estimate_retention_savings(cp: DataFrame, rc: DataFrame, cost: float = K.CAM
     """One row of campaign figures for the High segment; all zero when it is empty."""
     n = F.col("customers_targeted")
     stats = _joined(cp.where(F.col("risk_segment") == "High"), rc).agg(
-        F.count("*").alias("customers_targeted"), F.coalesce(F.avg("monthly_charges"), F.lit(0.0)).alias("avg_charges")
+        F.count("*").alias("customers_targeted"), F.coalesce(exact_avg("monthly_charges"), F.lit(0.0)).alias("avg_charges")
     )
     spent, recovered = n * F.lit(cost), _recovered(rate=rate)
     roi = F.when(spent > 0, (recovered - spent) / F.nullif(spent, F.lit(0.0)) * 100).otherwise(F.lit(0.0))
@@ -138,27 +138,35 @@ def top_revenue_at_risk(cp: DataFrame, rc: DataFrame, n: int = 10) -> DataFrame:
 
 
 def high_risk_customers(cp: DataFrame, rc: DataFrame, n: int | None = None) -> DataFrame:
-    """High-risk customers with contact columns, riskiest first; all of them unless `n` is given."""
+    """High-risk customers with contact columns: the `n` riskiest in order, or all of them in no order (see `riskiest_first`)."""
     profile = ["gender", "senior_citizen", "phone_service", "payment_method", "contract", "tenure"]
     high = _joined(cp.where(F.col("risk_segment") == "High"), rc, *profile)
-    rows = high.select("customer_id", *profile, "monthly_charges", "churn_probability", "risk_segment").orderBy(F.desc("churn_probability"), "customer_id")
-    return rows.limit(n) if n is not None else rows
+    rows = high.select("customer_id", *profile, "monthly_charges", "churn_probability", "risk_segment")
+    return riskiest_first(rows).limit(n) if n is not None else rows
 
 
 def retention_targets(cp: DataFrame, rc: DataFrame) -> DataFrame:
-    """The outreach list: High risk with tier, best tier and highest probability first."""
+    """The outreach list: High risk with tier, in no order (see `outreach_order`)."""
     high = _joined(cp.where(F.col("risk_segment") == "High"), rc, "contract", "tenure", "payment_method", "internet_service")
-    rows = high.select(
+    return high.select(
         "customer_id", "churn_probability", "risk_segment", "contract", "monthly_charges", "tenure", "payment_method", "internet_service",
         R.retention_tier(F.col("monthly_charges")).alias("priority_tier"),
     )
-    return rows.orderBy("priority_tier", F.desc("churn_probability"), "customer_id")
+
+
+def outreach_order(targets: DataFrame) -> DataFrame:
+    """Best tier and highest probability first: for exports, a full sort."""
+    return targets.orderBy("priority_tier", F.desc("churn_probability"), "customer_id")
+
+
+def riskiest_first(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.desc("churn_probability"), "customer_id")
 
 
 def tier_summary(targets: DataFrame) -> DataFrame:
     return targets.groupBy("priority_tier").agg(
         F.count("*").alias("customer_count"), half_up(F.avg("churn_probability"), 2).alias("avg_churn_probability"),
-        half_up(F.avg("monthly_charges"), 2).alias("avg_monthly_charges"), half_up(F.sum("monthly_charges"), 2).alias("total_monthly_revenue"),
+        half_up(exact_avg("monthly_charges"), 2).alias("avg_monthly_charges"), half_up(exact_sum("monthly_charges"), 2).alias("total_monthly_revenue"),
     ).orderBy("priority_tier")
 
 
@@ -167,16 +175,17 @@ def target_contracts(targets: DataFrame) -> DataFrame:
 
 
 def tier_list(targets: DataFrame, tier: str) -> DataFrame:
-    return targets.where(F.col("priority_tier") == tier).orderBy(F.desc("churn_probability"), "customer_id")
+    """The targets of one tier, in no order."""
+    return targets.where(F.col("priority_tier") == tier)
 
 
 def top_risk(df: DataFrame, n: int = 1) -> DataFrame:
-    return df.orderBy(F.desc("churn_probability"), "customer_id").limit(n)
+    return riskiest_first(df).limit(n)
 
 
 def backfill_summary(cp: DataFrame) -> DataFrame:
     return cp.groupBy("risk_segment", "retention_priority").agg(
-        F.count("*").alias("n"), half_up(F.avg("estimated_revenue_at_risk"), 2).alias("avg_revenue_at_risk"),
+        F.count("*").alias("n"), half_up(exact_avg("estimated_revenue_at_risk"), 2).alias("avg_revenue_at_risk"),
         half_up(F.avg("days_since_last_score"), 2).alias("avg_days_since_score"),
     )
 
