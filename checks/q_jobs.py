@@ -76,12 +76,17 @@ def _(t):
     return weekly.weekly_job(store, t.now, "2024-01-31").select("pipeline_name", "rows_processed", "details")
 
 
-@query("B04_model_job", "select 'model_pipeline' as pipeline_name, 'success' as status")
+@query("B04_model_job", """select id, model_name, model_version, false as is_active, null as details from t_reg
+ union all select max(id)+1, 'decision_tree', 'v1', true, 'performance_ok=False, retrained=True, deployed=True' from t_reg""")
 def _(t):
+    """A failing active model is replaced: the registry afterwards, with the run's details at the new row."""
     store = _store(t)
     weakest = G._activate(t.reg, t.reg.agg(F.min_by("id", "auc_score")).scalar())
-    store.write("model_registry", weakest, "2024-01-30")
-    return model.model_job(store, t.split_features, M.fit_tree, t.now, "2024-01-31").select("pipeline_name", "status")
+    failing = weakest.withColumn("auc_score", F.when(F.col("is_active"), 0.0).otherwise(F.col("auc_score")))
+    store.write("model_registry", failing, "2024-01-30")
+    run = model.model_job(store, t.split_features, M.fit_tree, t.now, "2024-01-31", floor=0.5)
+    rows = store.snapshot("model_registry").withColumn("run", run.select("details").scalar())
+    return rows.select("id", "model_name", "model_version", "is_active", F.when(F.col("is_active"), F.col("run")).alias("details"))
 
 
 @query("B05_record_run", "select 'batch_scorer' as pipeline_name, 'success' as status, count(*) as rows_processed, 1.5::double as duration_seconds, concat('high=', count(*) filter (where risk_segment='High')) as details, timestamp '2024-01-31' as run_at from t_cp")
@@ -96,7 +101,7 @@ def _(t):
     t.messy.repartition("load_no").write.parquet(landing)
     rows = R.landing_stream(t.spark, landing, t.messy.schema)
     R.stream_ingest(rows, store, f"{t.folder}/checkpoint", ["load_no"]).awaitTermination()
-    return store.log("raw_customers").select(*K.REQUIRED_COLUMNS)
+    return store.snapshot("raw_customers").select(*K.REQUIRED_COLUMNS)
 
 
 @query("R02_stream_score", f"select {_COLS} from {_NEWROWS} n")
@@ -105,7 +110,18 @@ def _(t):
     t.rc.repartition(4, "customer_id").write.parquet(landing)
     rows = R.landing_stream(t.spark, landing, t.rc.schema, files_per_batch=2)
     R.stream_score(rows, store, t.card, f"{t.folder}/checkpoint", t.now).awaitTermination()
-    return store.log("churn_predictions").drop("run_id")
+    return store.snapshot("churn_predictions")
+
+
+@query("R02_stream_then_daily", f"select {_COLS} from {_NEWROWS} n")
+def _(t):
+    """Customers arrive in micro-batches, then the daily job runs over the same tables."""
+    store, landing = _store(t), f"{t.folder}/landing"
+    t.known_rc.repartition(2, "customer_id").write.parquet(landing)
+    rows = R.landing_stream(t.spark, landing, t.rc.schema, files_per_batch=1)
+    R.stream_ingest(rows, store, f"{t.folder}/checkpoint", ["customer_id"]).awaitTermination()
+    daily.daily_job(store, t.rc, t.card, t.now, "2024-01-31", order=["customer_id"])
+    return store.snapshot("churn_predictions")
 
 
 @query("R03_stream_daily", f"""select archived_at::date as day, {rnd('avg(churn_probability)', 6)} as avg_probability, count(*) as n from t_h

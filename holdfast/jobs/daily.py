@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import constants as K
+from holdfast.jobs.model import promote
+from holdfast.jobs.monitoring import monitor_predictions
 from holdfast.jobs.runs import recorded
-from holdfast.operators import drift, evaluation, features, history, ingest, registry, scoring, summaries
+from holdfast.operators import drift, features, history, ingest, scoring, summaries
 from holdfast.plans.strata import stratified_split
-from holdfast.sources import files
+from holdfast.sources import files, models
 from holdfast.sources.tables import TableStore
 
 
@@ -23,9 +25,12 @@ def daily_job(store: TableStore, source: DataFrame, model, now: Column, run_id:
     """One day's run over the tables of `store`; returns the run row. Safe to repeat with the same id.
 
     Features are rebuilt from the customers before scoring, scores and retention columns are
-    published together, and the outgoing scores go to the history. `retrain` fits a model on a
-    training frame; it is called when the drift check asks for it.
+    published together, and the outgoing scores go to the history. `model` may be None for the active
+    model of the registry. `retrain` fits a model on a training frame; it is called when the drift check
+    asks for it, and what it fits is saved.
     """
+    if model is None:
+        model = models.load_active(store, store.snapshot("model_registry", before=run_id))
 
     def work() -> tuple[int, str]:
         has_before = store.exists("raw_customers")
@@ -40,7 +45,7 @@ def daily_job(store: TableStore, source: DataFrame, model, now: Column, run_id:
 
         old = store.snapshot("churn_predictions", before=run_id)
         current, archived = scoring.publish_scores(scoring.score(rc, model, now), old, now, "full")
-        store.write("churn_predictions_history", archived, run_id)
+        store.write("churn_predictions_history", archived, run_id, "append")
         store.write("churn_predictions", current, run_id)
         cp, log = store.snapshot("churn_predictions"), store.log("churn_predictions_history")
 
@@ -61,25 +66,13 @@ def daily_job(store: TableStore, source: DataFrame, model, now: Column, run_id:
         report = drift.monitoring_report(metrics, F.lit(model.model_version))
         alerts = reduce(DataFrame.unionByName, [drift.high_risk_alert(moves), drift.model_drift_alert(report)])
         stamped = alerts.select(F.xxhash64("alert_type", now).alias("id"), "*", now.alias("created_at"))
-        store.write("alerts", stamped, run_id)
-        files.write_markdown(summaries.risk_segments(cp, rc), "Daily risk report", f"{store.path('daily_report')}/run_id={run_id}")
-        return cp.count(), f"new_customers={new}, max_psi={need.max_psi}, retrained={trained}"
+        store.write("alerts", stamped, run_id, "append")
+        checks = monitor_predictions(store, cp, now, run_id)
+        n = cp.count()
+        steps = [("New customers", new), ("Customers scored", n), ("Greatest PSI", need.max_psi), ("Retraining needed", need.retrain_needed), ("Challenger", trained)]
+        listed = store.spark.createDataFrame([(s, str(v)) for s, v in steps], "step string, result string")
+        sections = [("Steps", listed), ("Risk segments", summaries.risk_segments(cp, rc)), ("Checks", checks.drop("place")), ("Alerts", alerts)]
+        files.write_sections("Daily report", sections, f"{store.path('daily_report')}/run_id={run_id}")
+        return n, f"new_customers={new}, max_psi={need.max_psi}, retrained={trained}"
 
     return recorded(store, "daily_pipeline", run_id, now, work)
-
-
-def promote(store: TableStore, active, challenger, test: DataFrame, now: Column, run_id: str) -> str:
-    """Compare on the test part; register the challenger, active only if it is clearly better."""
-    both = [
-        evaluation.evaluate(m.transform(test).select("customer_id", "churn_label", "churn_probability")).select(F.lit("m").alias("model_name"), F.lit(tag).alias("model_version"), "*")
-        for m, tag in ((active, "old"), (challenger, "new"))
-    ]
-    pair = evaluation.compare_versions(both[0].unionByName(both[1]), "old", "new")
-    better = registry.promote_decision(pair).first().promoted
-    entry = both[1].select(
-        F.lit(challenger.name).alias("model_name"), F.lit(challenger.version).alias("model_version"), "accuracy",
-        F.col("auc").alias("auc_score"), F.col("f1").alias("f1_score"), now.alias("trained_at"),
-    )
-    before = store.snapshot("model_registry", before=run_id)
-    store.write("model_registry", registry.deploy(before, entry) if better else registry.register(before, entry), run_id)
-    return "promoted" if better else "kept"

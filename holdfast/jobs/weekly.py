@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.jobs.runs import recorded
-from holdfast.operators import history
+from holdfast.operators import drift, history
 from holdfast.sources import files
 from holdfast.sources.tables import TableStore
 
@@ -37,6 +37,11 @@ def digest(summary: dict[str, DataFrame]) -> DataFrame:
     return w.select(F.posexplode(lines).alias("place", "line"))
 
 
+def listed(moves: DataFrame) -> DataFrame:
+    """The customers of a list with their segments, by id."""
+    return moves.select("customer_id", "risk_segment_last_week", "risk_segment_this_week").orderBy("customer_id")
+
+
 def weekly_job(store: TableStore, now: Column, run_id: str) -> DataFrame:
     """Write the summary tables and the digest, log the run."""
 
@@ -47,7 +52,9 @@ def weekly_job(store: TableStore, now: Column, run_id: str) -> DataFrame:
             store.write(f"weekly_{name}", frame, run_id)
         wow = store.snapshot("weekly_week_over_week")
         written = {name: store.snapshot(f"weekly_{name}") for name in summary}
-        files.write_markdown(digest(written), "Weekly Churn Digest", f"{store.path('weekly_digest')}/run_id={run_id}")
+        store.write("alerts", drift.weekly_digest_alert(wow).select(F.xxhash64("alert_type", now).alias("id"), "*", now.alias("created_at")), run_id, "append")
+        sections = [("Headlines", digest(written).orderBy("place").select("line")), ("New High Risk", listed(written["new_high_risk"])), ("Recovered to Low Risk", listed(written["recovered"]))]
+        files.write_sections("Weekly Churn Digest", sections, f"{store.path('weekly_digest')}/run_id={run_id}")
         fresh, back = written["new_high_risk"].count(), written["recovered"].count()
         return wow.first().this_week_customers, f"new_high_risk={fresh}, recovered={back}"
 

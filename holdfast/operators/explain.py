@@ -1,7 +1,8 @@
-"""Attributions, drivers, explanation texts, what-if scenarios for scorecards over whole tables.
+"""Attributions, drivers, explanation texts, what-if scenarios for fitted models over whole tables.
 
 For a scorecard the Shapley value of a feature on the logit is coef * (x - mean x), so an
-attribution is a set of columns. Tree models are in `trees`.
+attribution is a set of columns; a fitted logistic regression is read as one. Tree models, single,
+forest or boosted, are in `trees`.
 """
 
 from collections.abc import Sequence
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from holdfast import constants as K
 from holdfast.functions import risk as R
 from holdfast.functions.lookups import lookup
-from holdfast.functions.rounding import half_up
+from holdfast.functions.rounding import exact_avg, half_up
+from holdfast.operators import trees
 from holdfast.operators.features import model_features
 from holdfast.operators.scoring import LinearScorer
 from holdfast.plans.pick import top_per_key
@@ -63,16 +65,35 @@ def _contributions(features: DataFrame, model: LinearScorer) -> tuple[DataFrame,
     return out, [*added, *ranks], structs
 
 
-def with_factors(features: DataFrame, model: LinearScorer) -> DataFrame:
-    """Add `base_value` and `factors`: one entry per feature, strongest first."""
+def as_scorer(model) -> LinearScorer | None:
+    """The scorecard that a model is or amounts to; None for tree models."""
+    if isinstance(model, LinearScorer):
+        return model
+    c = model.classifier
+    if not hasattr(c, "coefficients"):
+        return None
+    return LinearScorer(model.name, model.version, float(c.intercept), dict(zip(K.MODEL_FEATURES, map(float, c.coefficients.toArray()))))
+
+
+def with_factors(features: DataFrame, model) -> DataFrame:
+    """Add `base_value` and `factors`: one entry per feature, strongest first, for any fitted model."""
+    card = as_scorer(model)
+    return _card_factors(features, card) if card else trees.with_factors(features, model, DIGITS)
+
+
+def _card_factors(features: DataFrame, model: LinearScorer) -> DataFrame:
     out, helpers, structs = _contributions(features, model)
     ordered = F.transform(F.array_sort(F.array(*structs)), lambda e: e.dropFields("rank"))
     return out.withColumn("factors", ordered).drop(*helpers)
 
 
-def explain(rc: DataFrame, model: LinearScorer, keep: Sequence[str] = ("customer_id",)) -> DataFrame:
+def explain(rc: DataFrame, model, keep: Sequence[str] = ("customer_id",)) -> DataFrame:
     """(customer, base value, rank, feature, value, contribution, direction) for every customer."""
-    out, _, structs = _contributions(model_features(rc), model)
+    card = as_scorer(model)
+    if card is None:
+        rows = trees.with_factors(model_features(rc), model, DIGITS).select(*keep, "base_value", F.posexplode("factors").alias("_place", "_e"))
+        return rows.select(*keep, "base_value", (F.col("_place") + 1).alias("rank"), "_e.*")
+    out, _, structs = _contributions(model_features(rc), card)
     return out.select(*keep, "base_value", F.inline(F.array(*structs)))
 
 
@@ -85,18 +106,32 @@ def _mean_abs(features: DataFrame, model: LinearScorer) -> Column:
     return F.array(*entries)
 
 
-def top_drivers(rc: DataFrame, model: LinearScorer, n: int = 10) -> DataFrame:
-    """Features by mean |contribution|, from one aggregate row."""
-    features = model_features(rc)
-    rows = features.withColumn("_means", feature_means(features, model))
-    return rows.agg(_mean_abs(rows, model).alias("e")).select(F.inline("e")).orderBy(F.desc("mean_abs_shap"), "feature").limit(n)
+def _mean_abs_of_factors(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from rows with `factors`: (by..., feature, mean |contribution|)."""
+    long = rows.select(*by, F.inline("factors"))
+    return long.groupBy(*by, "feature").agg(half_up(exact_avg(F.abs("shap_value")), DIGITS).alias("mean_abs_shap"))
+
+
+def top_drivers(rc: DataFrame, model, n: int = 10) -> DataFrame:
+    """Features by mean |contribution|; for a scorecard from one aggregate row."""
+    features, card = model_features(rc), as_scorer(model)
+    if card is None:
+        means = _mean_abs_of_factors(with_factors(features, model))
+    else:
+        rows = features.withColumn("_means", feature_means(features, card))
+        means = rows.agg(_mean_abs(rows, card).alias("e")).select(F.inline("e"))
+    return means.orderBy(F.desc("mean_abs_shap"), "feature").limit(n)
 
 
-def drivers_by_segment(rc: DataFrame, cp: DataFrame, model: LinearScorer, n: int = 5) -> DataFrame:
+def drivers_by_segment(rc: DataFrame, cp: DataFrame, model, n: int = 5) -> DataFrame:
     """The n strongest features of each risk segment; contributions are against the whole population."""
-    features = model_features(rc)
-    rows = features.withColumn("_means", feature_means(features, model)).join(cp.select("customer_id", "risk_segment"), "customer_id")
-    per_segment = rows.groupBy("risk_segment").agg(_mean_abs(rows, model).alias("e")).select("risk_segment", F.inline("e"))
+    features, card = model_features(rc), as_scorer(model)
+    segments = cp.select("customer_id", "risk_segment")
+    if card is None:
+        per_segment = _mean_abs_of_factors(with_factors(features, model).join(segments, "customer_id"), ["risk_segment"])
+    else:
+        rows = features.withColumn("_means", feature_means(features, card)).join(segments, "customer_id")
+        per_segment = rows.groupBy("risk_segment").agg(_mean_abs(rows, card).alias("e")).select("risk_segment", F.inline("e"))
     return top_per_key(per_segment, ["risk_segment"], [F.desc("mean_abs_shap"), F.col("feature")], n)
 
 
@@ -115,13 +150,13 @@ def factor_sentence(factors: Column) -> Column:
     return F.when(n == 0, F.lit("No contributing factors were provided.")).otherwise(text)
 
 
-def explanation_text(rc: DataFrame, model: LinearScorer, n: int = 5) -> DataFrame:
+def explanation_text(rc: DataFrame, model, n: int = 5) -> DataFrame:
     """One sentence per customer from the n strongest factors."""
     rows = with_factors(model_features(rc), model).withColumn("top", F.slice("factors", 1, n))
     return rows.select("customer_id", factor_sentence(F.col("top")).alias("explanation"))
 
 
-def template_explanation(rc: DataFrame, model: LinearScorer) -> DataFrame:
+def template_explanation(rc: DataFrame, model) -> DataFrame:
     """The short template text: segment, probability and three strongest factors."""
     rows = with_factors(model.transform(model_features(rc)), model)
     p = F.col("churn_probability")
@@ -207,7 +242,7 @@ def scenario_advice(results: DataFrame) -> DataFrame:
 # --- full prediction record ------------------------------------------------------
 
 
-def predict_records(rc: DataFrame, model: LinearScorer, now: Column, n: int = 5) -> DataFrame:
+def predict_records(rc: DataFrame, model, now: Column, n: int = 5) -> DataFrame:
     """Probability, segment, top factors (array of structs), actions, version and time per input row."""
     rows = with_factors(model.transform(model_features(rc)), model)
     segment = R.risk_segment(F.col("churn_probability"))

@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import constants as K
-from holdfast.operators.evaluation import evaluate
+from holdfast.operators.evaluation import evaluate, summarize_folds
 from holdfast.plans.strata import stratified_folds
+from holdfast.sources.tables import ensure_checkpoint_dir
 
 LABEL = "churn_label"
 SEED = 42
 
-# fixed search spaces, with the nearest MLlib parameters
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [3, 5, 7, 10], "minInstancesPerNode": [1, 2, 4]}
+# fixed search spaces, with the nearest MLlib parameters (it has no least size of a node to be split)
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [3, 5, 7, 30], "minInstancesPerNode": [1, 2, 4]}
 BOOSTING_GRID = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "all"]}
 BOOSTING_DISTRIBUTIONS = {
     "maxIter": [100, 200, 300, 400], "maxDepth": [3, 4, 5, 6, 7], "stepSize": [0.01, 0.03, 0.05, 0.1, 0.15, 0.2],
@@ -38,10 +39,13 @@ def fit_preprocessor(df: DataFrame, numerics: Sequence[str] = K.NUMERIC_COLUMNS,
     A level that was not seen in training becomes all zeros. The fitted model saves and loads as any
     MLlib pipeline. The scaler divides by the sample deviation.
     """
-    modes = df.agg(*[F.mode(c, True).alias(c) for c in categories]).first()
+    # counted by (column, level), which combines on the map side; ties go to the smaller level
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("level")) for c in categories])
+    levels = df.select(F.inline(pairs)).where("level is not null").groupBy("c", "level").agg(F.count("*").alias("n"))
+    modes = {r.c: r.level for r in levels.groupBy("c").agg(F.min_by("level", F.struct(-F.col("n"), F.col("level"))).alias("level")).collect()}
 
     def quoted(c: str) -> str:
-        return "'" + str(modes[c]).replace("'", "''") + "'"
+        return "'" + str(modes.get(c)).replace("'", "''") + "'"
 
     filled = ", ".join(f"coalesce(`{c}`, {quoted(c)}) AS `{c}_filled`" for c in categories)
     numbers = ", ".join(f"cast(`{c}` AS double) AS `{c}_num`" for c in numerics)
@@ -131,7 +135,8 @@ def fit_tree(train: DataFrame, depth: int = 5) -> FittedModel:
     return _fit("decision_tree", DecisionTreeClassifier(**_COLS, maxDepth=depth, seed=SEED), train)
 
 
-def fit_forest(train: DataFrame, trees: int = 100, depth: int = 10) -> FittedModel:
+def fit_forest(train: DataFrame, trees: int = 100, depth: int = 30) -> FittedModel:
+    """Random forest, grown as deep as MLlib allows (30 levels) unless told otherwise."""
     return _fit("random_forest", RandomForestClassifier(**_COLS, numTrees=trees, maxDepth=depth, seed=SEED), train)
 
 
@@ -143,6 +148,16 @@ def fit_gbt(train: DataFrame, rounds: int = 100, depth: int = 5, step: float = 0
     return _fit("boosting", gbt, train)
 
 
+def fit_balanced(train: DataFrame) -> FittedModel:
+    """The balanced preset: twice the rounds at half the step, classes weighted equally."""
+    return fit_gbt(train, rounds=200, step=0.05, balanced=True)
+
+
+def fit_ensemble(train: DataFrame, boosting=None, balanced=None, forest=None) -> Ensemble:
+    """Soft vote of tuned boosting, balanced boosting and a tuned forest; fitted members may be passed in."""
+    return Ensemble("ensemble", "v1", (boosting or tune_boosting(train), balanced or fit_balanced(train), forest or tune_forest(train)))
+
+
 # --- tuning --------------------------------------------------------------------
 
 
@@ -209,9 +224,24 @@ def score_with(models: Sequence, features: DataFrame) -> DataFrame:
     return out
 
 
-def cross_validate(features: DataFrame, fit, folds: int = 5) -> DataFrame:
+def dealt_folds(features: DataFrame, folds: int = 5) -> DataFrame:
+    """The features with their fold, computed once and written to the shared checkpoint folder."""
+    ensure_checkpoint_dir(features.sparkSession)
+    return stratified_folds(features, LABEL, "customer_id", folds, SEED).checkpoint()
+
+
+def cross_validate_all(features: DataFrame, fits: Mapping[str, object], folds: int = 5) -> DataFrame:
+    """Mean and deviation of every metric for each named `fit`, over the same folds."""
+    dealt, out = dealt_folds(features, folds), None
+    for name, fit in fits.items():
+        rows = summarize_folds(cross_validate(features, fit, folds, dealt)).select(F.lit(name).alias("model_name"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def cross_validate(features: DataFrame, fit, folds: int = 5, dealt: DataFrame | None = None) -> DataFrame:
     """Metrics per fold: `fit(train)` on the other folds, scores on the left-out one."""
-    dealt = stratified_folds(features, LABEL, "customer_id", folds, SEED)
+    dealt = dealt_folds(features, folds) if dealt is None else dealt
     scored = None
     for i in range(folds):
         model = fit(dealt.where(F.col("fold") != i))

@@ -35,9 +35,11 @@ def deploy(registry: DataFrame, entry: DataFrame) -> DataFrame:
 
 
 def rollback(registry: DataFrame) -> DataFrame:
-    """Activate the most recently trained row other than the active one."""
+    """Activate the most recently trained row other than the active one; an error if there is no other."""
+    if registry.limit(2).count() < 2:
+        raise ValueError("No previous model to roll back to.")
     current = registry.where("is_active").agg(F.max("id")).scalar()
-    others = registry.where(F.col("id") != current)
+    others = registry.where(F.col("id") != F.coalesce(current, F.lit(-1)))
     return _activate(registry, others.agg(F.max_by("id", F.struct("trained_at", "id"))).scalar())
 
 

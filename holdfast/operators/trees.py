@@ -1,101 +1,129 @@
-"""Path-dependent Shapley attributions for tree ensembles.
+"""Path-dependent Shapley attributions for tree ensembles, in polynomial time.
 
 A leaf is reached by tests on a few features. For the game "features in S are known" the leaf counts
 value * prod(o_f for f in S) * prod(z_f otherwise), where o_f says whether the row passes all tests of
-feature f on the path and z_f is the share of training weight that does. Per leaf the Shapley
-values depend on the row only through the pattern of o, so they are tabulated once per pattern;
-executors look the pattern up for whole Arrow batches.
+feature f on the path and z_f is the share of training weight that does. The weight of a coalition is
+a Beta integral, so the Shapley value of f is
+
+    value * (o_f - z_f) * integral over t in [0, 1] of prod over g != f of (t * o_g + (1 - t) * z_g).
+
+The integrand is a polynomial of a degree below the number of features; Gauss-Legendre nodes, half as
+many as features, integrate it exactly. Features off the path have o = z = 1 and drop out by themselves.
 """
 
-from collections.abc import Iterator
-from itertools import product
-from math import factorial
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.util import MLWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast import constants as K
 from holdfast.operators.modeling import FittedModel
-
-
-def _leaves(node, margin, path=()) -> Iterator[tuple[tuple, float]]:
-    """(path, value) of each leaf below a JVM tree node; a path step is (feature, low, high, share)."""
-    if node.subtreeDepth() == 0:
-        yield path, margin(node)
-        return
-    split, n = node.split(), node.impurityStats().count()
-    for child, low, high in ((node.leftChild(), -np.inf, split.threshold()), (node.rightChild(), split.threshold(), np.inf)):
-        step = (split.featureIndex(), low, high, child.impurityStats().count() / n)
-        yield from _leaves(child, margin, (*path, step))
-
-
-def _tabulate(path: tuple, value: float) -> tuple[list, np.ndarray]:
-    """Merge the steps per feature; Shapley value of each feature for every pass/fail pattern."""
-    merged: dict[int, list] = {}
-    for f, low, high, share in path:
-        m = merged.setdefault(f, [-np.inf, np.inf, 1.0])
-        m[0], m[1], m[2] = max(m[0], low), min(m[1], high), m[2] * share
-    d = len(merged)
-    shares = [m[2] for m in merged.values()]
-    table = np.zeros((2**d, d))
-    for row, passed in enumerate(product((0.0, 1.0), repeat=d)):
-        for i in range(d):
-            others = [j for j in range(d) if j != i]
-            for known in product((False, True), repeat=d - 1):
-                size = sum(known)
-                weight = factorial(size) * factorial(d - size - 1) / factorial(d)
-                rest = np.prod([passed[j] if k else shares[j] for j, k in zip(others, known)]) if others else 1.0
-                table[row, i] += weight * rest * (passed[i] - shares[i]) * value
-    return [(f, m[0], m[1]) for f, m in merged.items()], table
-
-
-def _games(model: FittedModel) -> tuple[list, float]:
-    """(leaf games, base value). Size: trees * 2^depth, set by the training parameters."""
+from holdfast.sources.tables import work_dir
+
+#: Numbers per block of the computation, 32 MB.
+_BLOCK = 4_000_000
+
+
+@dataclass(frozen=True)
+class Leaves:
+    """All leaves of an ensemble: bounds and share of training weight by feature, value, and the mean of the margin."""
+
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+    base: float
+
+    def attributions(self, x: np.ndarray) -> np.ndarray:
+        """Shapley value of each feature for each row of `x`; values are right where NaN has been filled."""
+        out = np.zeros(x.shape)
+        nodes, weights = np.polynomial.legendre.leggauss((x.shape[1] + 1) // 2)
+        step = max(1, _BLOCK // (max(len(x), 1) * x.shape[1]))
+        for start in range(0, len(self.value), step):
+            part = slice(start, start + step)
+            passed = (x[:, None, :] > self.low[None, part]) & (x[:, None, :] <= self.high[None, part])
+            share, total = self.share[None, part], np.zeros(passed.shape)
+            for t, w in zip((nodes + 1) / 2, weights / 2):
+                each = t * passed + (1 - t) * share
+                total += w * each.prod(axis=2, keepdims=True) / each
+            out += (total * (passed - share) * self.value[None, part, None]).sum(axis=1)
+        return out
+
+
+def leaves_of(model: FittedModel, spark: SparkSession) -> Leaves:
+    """Read the trees' node tables (their size is set by the training parameters) and follow every path."""
     c = model.classifier
-    java = c._java_obj
-    trees = list(java.trees()) if hasattr(c, "treeWeights") else [java]
+    if not hasattr(c, "depth") and not hasattr(c, "treeWeights"):
+        raise TypeError(f"{type(c).__name__} is no tree model")
     boosted = type(c).__name__.startswith("GBT")
-    weights = [2.0 * w for w in c.treeWeights] if boosted else [1.0 / len(trees)] * len(trees)
-    games, base = [], 0.0
-    for tree, weight in zip(trees, weights):
-        def margin(leaf, w=weight):
-            if boosted:
-                return w * leaf.prediction()
-            stats = list(leaf.impurityStats().stats())
-            return w * stats[1] / sum(stats)
-
-        for path, value in _leaves(tree.rootNode(), margin):
-            base += value * float(np.prod([s[3] for s in path])) if path else value
-            if path:
-                games.append(_tabulate(path, value))
-    return games, base
+    weights = [2.0 * w for w in c.treeWeights] if boosted else [1.0 / len(c.treeWeights)] * len(c.treeWeights) if hasattr(c, "treeWeights") else [1.0]
+    path = f"{work_dir(spark)}/nodes/{uuid.uuid4().hex}"
+    assert isinstance(c, MLWritable)
+    c.write().save(path)
+    table = spark.read.parquet(f"{path}/data")
+    rows = table.select("treeID", "nodeData.*") if "nodeData" in table.columns else table.withColumn("treeID", F.lit(0))
+    trees: dict[int, dict] = {}
+    for r in rows.select("treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild", "split").collect():
+        trees.setdefault(r.treeID, {})[r.id] = r
+    d = len(K.MODEL_FEATURES)
+    found: list[tuple] = []
+    for t, nodes in sorted(trees.items()):
+
+        def count(node) -> float:
+            return node.impurityStats[0] if boosted else sum(node.impurityStats)
+
+        todo = [(nodes[0], np.full(d, -np.inf), np.full(d, np.inf), np.ones(d))]
+        while todo:
+            node, low, high, share = todo.pop()
+            if node.leftChild < 0:
+                value = node.prediction if boosted else node.impurityStats[1] / sum(node.impurityStats)
+                found.append((low, high, share, weights[t] * value))
+                continue
+            f, cut = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
+            for child, bounds, side in ((nodes[node.leftChild], high, min), (nodes[node.rightChild], low, max)):
+                new, part = bounds.copy(), share.copy()
+                new[f] = side(new[f], cut)
+                part[f] *= count(child) / count(node)
+                todo.append((child, low, new, part) if side is min else (child, new, high, part))
+    low, high, share, value = (np.array(x) for x in zip(*found))
+    return Leaves(low, high, share, value, float((value * share.prod(axis=1)).sum()))
+
+
+def _attribution(features: DataFrame, leaves: Leaves) -> Column:
+    shipped = features.sparkSession.sparkContext.broadcast(leaves)
+
+    @F.pandas_udf("array<double>")
+    def attribute(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(shipped.value.attributions(x.to_numpy(dtype=float))))
+
+    return attribute(F.struct(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(K.MODEL_FEATURES)]))
+
+
+def with_factors(features: DataFrame, model: FittedModel, digits: int | None = None) -> DataFrame:
+    """Add `base_value` and `factors`: one entry per feature, strongest first, ties by feature order.
+
+    On the model margin: the log-odds for boosting, the probability for a tree or forest; base value
+    plus contributions equals it.
+    """
+    leaves = leaves_of(model, features.sparkSession)
+    rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    out = features.withColumn("_phi", _attribution(features, leaves))
+    entries = []
+    for i, f in enumerate(K.MODEL_FEATURES):
+        value = rounded(F.col("_phi")[i])
+        direction = F.when(value > 0, F.lit("increases risk")).otherwise(F.lit("decreases risk"))
+        entries.append(F.struct(
+            (-F.abs(value)).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("feature"), rounded(F.col(f"`{f}`").cast("double")).alias("feature_value"),
+            value.alias("shap_value"), direction.alias("direction")))
+    ordered = F.transform(F.array_sort(F.array(*entries)), lambda e: e.dropFields("k", "i"))
+    return out.withColumns({"base_value": rounded(F.lit(leaves.base)), "factors": ordered}).drop("_phi")
 
 
 def explain_trees(features: DataFrame, model: FittedModel) -> DataFrame:
-    """(customer, base value, rank, feature, value, contribution, direction) on the model margin.
-
-    The margin is the log-odds for boosting and the probability for a tree or forest; base value
-    plus contributions equals it.
-    """
-    games, base = _games(model)
-    shipped = features.sparkSession.sparkContext.broadcast(games)
-    names = list(K.MODEL_FEATURES)
-
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
-            for tests, table in shipped.value:
-                pattern = np.zeros(len(x), dtype=np.int64)
-                for f, low, high in tests:
-                    pattern = 2 * pattern + ((x[:, f] > low) & (x[:, f] <= high))
-                phi[:, [t[0] for t in tests]] += table[pattern]
-            yield pd.DataFrame({"customer_id": batch["customer_id"], "phi": list(phi), "x": list(x)})
-
-    rows = features.select("customer_id", *[F.col(f"`{f}`") for f in names]).mapInPandas(attribute, "customer_id string, phi array<double>, x array<double>")
-    entries = [F.struct((-F.abs(F.col("phi")[i])).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col("x")[i].alias("feature_value"), F.col("phi")[i].alias("shap_value")) for i, f in enumerate(names)]
-    ranked = rows.select("customer_id", F.posexplode(F.array_sort(F.array(*entries))).alias("_place", "_e"))
-    direction = F.when(F.col("_e.shap_value") > 0, F.lit("increases risk")).otherwise(F.lit("decreases risk"))
-    return ranked.select("customer_id", F.lit(float(base)).alias("base_value"), (F.col("_place") + 1).alias("rank"), "_e.feature", "_e.feature_value", "_e.shap_value", direction.alias("direction"))
+    """(customer, base value, rank, feature, value, contribution, direction) for every customer."""
+    rows = with_factors(features, model).select("customer_id", "base_value", F.posexplode("factors").alias("_place", "_e"))
+    return rows.select("customer_id", "base_value", (F.col("_place") + 1).alias("rank"), "_e.*")

@@ -47,6 +47,30 @@ def write_markdown(df: DataFrame, title: str, path: str) -> None:
     markdown_table(df, title).coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
+def section_lines(title: str, sections: list[tuple[str, DataFrame]]) -> DataFrame:
+    """A report of several small tables as ordered lines (`place`, `line`): the title, then each section with its table.
+
+    Rows of a section keep the order of its frame if that is sorted, else they are sorted as text.
+    """
+    spark = sections[0][1].sparkSession
+    parts = [spark.createDataFrame([(0, 0, 0, f"# {title}")], "section int, part int, row long, line string")]
+    for i, (name, df) in enumerate(sections, 1):
+        head = ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        parts.append(spark.createDataFrame([(i, 0, k, h) for k, h in enumerate(head)], "section int, part int, row long, line string"))
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+        # reports hold small aggregates; the id follows the order of a sorted frame
+        parts.append(df.select(F.lit(i).alias("section"), F.lit(1).alias("part"), F.monotonically_increasing_id().alias("row"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return lines.orderBy("section", "part", "row", "line")
+
+
+def write_sections(title: str, sections: list[tuple[str, DataFrame]], path: str) -> None:
+    """The lines of a report as text; long lists fill several files, in order."""
+    section_lines(title, sections).select("line").write.mode("overwrite").text(path)
+
+
 def ensure_columns(df: DataFrame, columns: dict[str, str | T.DataType]) -> DataFrame:
     """Additive migration: columns the table lacks appear as typed NULLs."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}) if columns else df

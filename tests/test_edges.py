@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from holdfast import schemas
 from holdfast.jobs import daily, weekly
-from holdfast.operators import cohorts, drift, history, ingest, quality, segments, summaries, value
+from holdfast.operators import cohorts, drift, history, ingest, quality, registry, segments, summaries, value
 from holdfast.sources import files
 from holdfast.sources.tables import TableStore
 from holdfast.streaming import jobs as R
@@ -88,6 +88,40 @@ def test_snapshot_store(spark, tmp_path):
     assert store.snapshot("ids").count() == 5 and store.snapshot("ids", before="2024-01-02").count() == 3 and store.log("ids").count() == 8
 
 
+def test_store_appends_and_hides_half_written_runs(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    frame = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("customer_id"))
+    store.write("ids", frame(0, 3), "2024-01-01")
+    store.write("ids", frame(3, 5), "ingest-000000000000", "append")
+    frame(0, 100).write.parquet(store.path("ids") + "/run_id=broken/attempt=x")  # never committed
+    assert store.snapshot("ids").count() == 5 and store.snapshot("ids", before="ingest-000000000000").count() == 3
+    store.write("ids", frame(0, 2), "2024-01-02")
+    store.write("ids", frame(3, 9), "ingest-000000000000", "append")  # replayed: keeps its place before the replacing run
+    assert store.snapshot("ids").count() == 2 and store.snapshot("ids", before="2024-01-02").count() == 9
+    assert all("run_id=2024-01-02" in f for f in store.snapshot("ids").inputFiles())  # no other run is listed or read
+    with pytest.raises(ValueError):
+        store.write("ids", frame(0, 1), "a/b")
+
+
+def test_stream_then_daily_job_keeps_all_customers(spark, tmp_path, tables):
+    store, landing = TableStore(spark, str(tmp_path / "tables")), str(tmp_path / "landing")
+    tables.rc.orderBy("customer_id").limit(60).repartition(2).write.parquet(landing)
+    rows = R.landing_stream(spark, landing, tables.rc.schema, files_per_batch=1)
+    R.stream_ingest(rows, store, str(tmp_path / "checkpoint"), ["customer_id"]).awaitTermination()
+    assert store.snapshot("raw_customers").count() == 60
+    daily.daily_job(store, tables.rc, tables.card, tables.now, "2024-01-31", order=["customer_id"])
+    assert store.snapshot("raw_customers").count() == store.snapshot("churn_predictions").count() == tables.rc.count()
+    written = spark.read.parquet(store.path("raw_customers") + "/run_id=2024-01-31")
+    assert written.count() == tables.rc.count() - 60  # an incremental load writes the new rows only
+
+
+def test_rollback_needs_another_model(tables):
+    one = tables.reg.limit(1)
+    with pytest.raises(ValueError):
+        registry.rollback(one)
+    assert registry.rollback(tables.reg).where("is_active").count() == 1
+
+
 def test_daily_job_is_repeatable(spark, tmp_path, tables):
     store = TableStore(spark, str(tmp_path))
     store.write("raw_customers", tables.known_rc, "2024-01-30")
