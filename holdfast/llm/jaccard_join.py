@@ -2,11 +2,11 @@
 
 Texts are sets of hashed word n-grams; texts of equal sets are one from then on. Each tree of the forest orders the
 signatures by its own choice of hash functions: a node of its trie is a shared prefix. Matching begins at long
-prefixes, where groups are alike, and goes on with shorter ones until a pair at the threshold shares a node of some tree
-with the target recall. On each level the members of a node are compared with one of them; what is verified is joined
-to classes, and only members of different classes are looked at again. On the last level all pairs of a node that are
-still in different classes and whose signatures agree enough are compared, so no link between classes is lost. The
-links inside a class are counted in blocks. Pairs inside a class are never written out.
+prefixes, where groups are alike, and the prefixes are shortened until a pair at the threshold shares a node of some
+tree with the target recall. On each level the members of a node are compared with one of them; what is verified makes
+classes. Only nodes of the last level whose members are still in different classes are compared pair by pair, so no
+link between classes is lost. Links inside a class are counted. Both are done in blocks, a product of incidence
+matrices for each pair of blocks; pairs are never written out.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ from .subwords import MULTIPLIER, mixed, pieces, word_hashes
 @dataclass(frozen=True)
 class Settings:
     """`hashes` functions make a signature, `trees` trees order it, the first `longest` functions of a tree's order make its
-    longest prefix. Pairs whose signatures agree in less than `slack` below the threshold are not verified on the last
-    level (four standard deviations of the estimate). `block` texts of a class are counted against as many at a time."""
+    longest prefix. `block` texts of a group are compared with as many at a time."""
 
     words: int = 5
     threshold: float = 0.8
@@ -38,7 +37,6 @@ class Settings:
     hashes: int = 128
     trees: int = 32
     longest: int = 10
-    slack: float = 0.14
     block: int = 256
     seed: int = 11
 
@@ -104,6 +102,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(node, id, lead) of nodes with two members and more; the lead is the smallest."""
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("node", "lead")
+    return nodes.join(shared, "node").select("node", "id", "lead")
+
+
 def _nodes(signed: DataFrame, s: Settings, depth: int) -> DataFrame:
     """(node, id, ...) of every tree at a depth; a node is the hash of its tree and prefix."""
     trees = [F.xxhash64(F.lit(t), *[F.substring("signature", 4 * i + 1, 4) for i in order[:depth]]) for t, order in enumerate(tree_orders(s))]
@@ -130,14 +134,6 @@ def _reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(both) - common) - 1e-9
 
 
-def _agreement(threshold: float, hashes: int):
-    @F.pandas_udf("boolean")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)).sum() >= threshold * hashes for p, q in zip(x, y, strict=True)], dtype=bool)
-
-    return agree
-
-
 def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, n_links, n_copies, set_key.
 
@@ -152,31 +148,20 @@ def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     # each different set is one text, named by its smallest id
     alike = stored(rows.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     reps = stored(rows.filter("signature is not null and id is not null").join(alike.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi").groupBy("id").agg(F.min_by("signature", "set_key").alias("signature")))
-    links, groups, sets = None, None, None
-    for depth in sorted(s.depths()):
-        nodes = _nodes(reps, s, depth)
-        shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("node", "lead")
-        if sets is None:  # the shortest prefixes first, to know all texts that can have a partner
-            shortest = stored(nodes.join(shared, "node").select("node", "id", "lead"))
-            ids = stored(shortest.select("id").distinct())
-            sets = stored(_sets(docs, ids, s, id_col, text_col))
-    levels = [_nodes(reps.join(small(ids, 16), "id", "left_semi"), s, d) for d in s.depths()[:-1]]
-    levels = [n.join(n.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("node", "lead"), "node").select("id", "lead") for n in levels]
-    for level in [*levels, shortest.select("id", "lead")]:
-        pairs = level.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-        if groups is not None:
-            pairs = _apart(pairs, groups)
-        found = _verified(stored(pairs), sets, s)
-        links = found if links is None else stored(links.unionByName(found))
-        groups = components(links)
-    # last: members of a node that are still in different classes
-    member = _grouped(shortest.select("node", "id"), groups, "id")
-    open_nodes = member.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("node")
-    member = stored(member.join(open_nodes, "node").join(reps, "id"))
-    left, right = member.select("node", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x")), member.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("y"))
-    close = left.join(right, "node").filter("ca < cb").filter(_agreement(s.threshold - s.slack, s.hashes)("x", "y")).select("a", "b").distinct()
-    links = stored(links.unionByName(_verified(stored(close), sets, s)))
-    groups = components(links)
+    *longer, shortest = s.depths()
+    nodes = stored(_shared(_nodes(reps, s, shortest)))
+    ids = stored(nodes.select("id").distinct())
+    sets = stored(_sets(docs, ids, s, id_col, text_col))
+    # every member of a node is compared with one of them, at long prefixes and at the shortest
+    partnered = reps.join(small(ids, 16), "id", "left_semi")
+    stars = nodes.select("id", "lead")
+    for depth in longer:
+        stars = stars.unionByName(_shared(_nodes(partnered, s, depth)).select("id", "lead"))
+    pairs = stars.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    links = _verified(stored(pairs), sets, s)
+    # members of a node that are still in different classes are compared among themselves
+    bridges = _bridges(nodes.select("node", "id"), components(links), sets, s)
+    groups = components(stored(links.unionByName(bridges)))
     counts = stored(_link_counts(groups, sets, s))
     known = groups.join(counts, "id", "left").select(F.col("id").alias("rep"), "component", "n_links")
     # of each set that has copies or links: its class, links and copies
@@ -192,10 +177,50 @@ def _grouped(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     return rows.join(small(named, 24), column, "left").withColumn("component", F.coalesce("c", column)).drop("c")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    first = _grouped(pairs, groups, "a").withColumnRenamed("component", "ca")
-    return _grouped(first, groups, "b").filter("ca != component").select("a", "b")
+def _bridges(members: DataFrame, groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) for classes that a link between members of one node connects; classes are named by their smallest ids.
+
+    Only nodes that hold several classes are looked at, block against block. A task gives no more links than connect
+    its classes, however many pairs reach the threshold.
+    """
+    placed = _grouped(members, groups, "id")
+    mixed_nodes = stored(placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("node", "size"))
+    dealt = _blocks(placed.join(small(mixed_nodes, 16), "node"), "node", s.block, "component")
+
+    def connect(key: tuple, rows: pa.Table) -> pa.Table:
+        of = rows["component"].to_numpy()
+        linked = links_among([np.frombuffer(h.as_py(), np.uint64) for h in rows["hashes"]], s.threshold)
+        a, b = np.nonzero(linked & (of[:, None] < of[None, :]))
+        found = spanning(np.unique(np.stack([of[a], of[b]], 1), axis=0).tolist())
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.join(sets, "id").select("node", "i", "j", "component", "hashes").groupBy("node", "i", "j").applyInArrow(connect, "a bigint, b bigint").distinct()
+
+
+def spanning(pairs: list) -> list:
+    """As many of the pairs as connect all that the pairs connect."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[y] = x
+            kept.append((a, b))
+    return kept
+
+
+def _blocks(placed: DataFrame, group: str, block: int, *more: str) -> DataFrame:
+    """Each member of a group (with its `size`) once for every block of the group, its own block in `own`, the pair of blocks in (i, j)."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = placed.select("id", group, *[c for c in more if c != group], blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -212,12 +237,9 @@ def _sets(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col: s
 def _link_counts(groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(id, n_links) for every id of `groups`: links inside each component, counted block against block."""
     sizes = stored(groups.groupBy("component").agg(F.count("*").alias("size")))
-    blocks = F.ceil(F.col("size") / s.block).cast("int")
     placed = groups.join(small(sizes, 16), "component")
     pairs_of_two = placed.filter("size = 2").select("id", F.lit(1).cast("long").alias("n_links"))
-    dealt = placed.filter("size > 2").select("id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    dealt = dealt.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.join(sets, "id").select("id", "hashes", "own", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = _blocks(placed.filter("size > 2"), "component", s.block).join(sets, "id").select("id", "hashes", "own", "component", "i", "j")
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()
