@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 #: The byte-level alphabet and the word pattern are fixed values of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Words and fragments that a process remembers; beyond that its memory starts afresh. Longer ones are not kept.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 #: Fragments above this length are merged with a heap, shorter ones by repeated search.
 SHORT = 48
 NONE = 1 << 60
@@ -223,7 +223,7 @@ def _digests(entries: list[tuple]) -> tuple:
 def mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, columns: dict[str, pa.DataType], row: Callable[[list[tuple]], tuple]) -> DataFrame:
     """`row` of each text's entries, beside its id."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file of a few MB
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     ddl = {pa.list_(pa.int32()): "array<int>", pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

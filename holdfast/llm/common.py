@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows stay below this size.
 BROADCAST_BYTES = 32 << 20
+#: Rows that a Python worker gets at a time.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,18 +42,13 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with its session set to hand few rows at a time to Python workers: texts and sets of n-grams are long rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def text_of(column: str) -> F.Column:
     """A text column as string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
-
-def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Cut a run of items into ranges [start, end) of at most `limit` in total size (single larger items stand alone)."""
-    start, total, end = 0, 0, 0
-    for end, size in enumerate(sizes):
-        if total and total + size > limit:
-            yield start, end
-            start, total = end, 0
-        total += size
-    if start <= end and total >= 0:
-        yield start, end + 1

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Function words of the languages served, elements, and names that sites give to parts of a page.
 STOP_WORDS = {
     "en": "the of and to a in is it that for was on are as with be this by from or an at not have which you but we they his her their has",
@@ -228,5 +230,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def texts(html_: pd.Series) -> pd.Series:
         return pd.Series([main_text(h) if h else "" for h in html_], dtype=object)
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), texts(F.col(html_col).cast("string")).alias("text"))
+    rows = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), texts(F.col(html_col).cast("string")).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_of
+from .common import small, small_batches, stored, text_of
 from .components import components
 from .subwords import MULTIPLIER, mixed, pieces, word_hashes
 
@@ -99,7 +99,7 @@ def features(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:

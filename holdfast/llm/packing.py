@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import kept_by_process
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
 #: Tokens of a group on average: what one task holds at a time (2 bytes each).
 GROUP = 1 << 21
@@ -88,7 +88,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 def pieces(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[int]]], size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, part, n, ids (little-endian 16 or 32 bit): each document in parts of `size` tokens and a rest."""
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer()

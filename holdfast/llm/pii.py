@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_of
+from .common import small, small_batches, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that count as its context.
@@ -28,6 +28,9 @@ WINDOW = 8
 #: contexts it must have been seen in (copies of one context tell nothing).
 REMOVE, GENERALISE, SUPPORT = 0.97, 0.9, 3
 
+#: Different terms that a task counts before it hands them on.
+COUNTED = 200_000
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -115,7 +118,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> Itera
 def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDOW, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """entity, term, disclosure for every pair at or above `generalise`, from counts over all documents.
 
-    Mentions are first reduced to (entity, context) counts, terms to counts per batch, so that a hot entity or word
+    Mentions are first reduced to (entity, context) counts, terms to counts per task, so that a hot entity or word
     costs one row per task.
     """
     texts = docs.select(text_of(text_col).alias("text"))
@@ -126,11 +129,19 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDO
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["entity", "terms"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            counts: Counter = Counter()
             for t in batch["text"]:
                 counts.update(WORD.findall(t.as_py().lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            if len(counts) > COUNTED:
+                yield flushed()
+        yield flushed()
 
     seen = stored(texts.mapInArrow(mentions, "entity string, terms array<string>").groupBy("entity", "terms").agg(F.count("*").alias("n")))
     total = stored(texts.mapInArrow(words, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("term_n")))
@@ -152,7 +163,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     them; a null id has none. Documents without a protected entity are left alone. An empty table gives an empty result.
     """
     terms = stored(revealing_terms(docs, text_col, window, generalise, support))
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     @F.pandas_udf("array<string>")
     def entities(texts: pd.Series) -> pd.Series:

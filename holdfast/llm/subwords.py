@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -127,19 +127,39 @@ def bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (counts / (counts.sum() + s.neutral)).astype(np.float32)
 
 
+def bags(texts: list[str], labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Buckets and shares of all texts that have any, end to end, where each begins and ends, and their labels.
+
+    A few large arrays, so that the driver's memory is given back after the training.
+    """
+    chunks, ends, ys = [], [0], []
+    for start in range(0, len(texts), 250):
+        own = [(*bag(t, s), int(y)) for t, y in zip(texts[start : start + 250], labels[start : start + 250], strict=True)]
+        own = [x for x in own if len(x[0])]
+        if own:
+            chunks.append((np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])))
+        for ids, _, y in own:
+            ends.append(ends[-1] + len(ids))
+            ys.append(y)
+    if not chunks:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), ends, ys
+    return np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks]), ends, ys
+
+
 def train(texts: list[str], labels: list[int], s: Settings, prior: float | None = None) -> Model:
     """Stochastic gradient descent, one text at a time, with a falling rate. `prior`: share of class 1 among all labelled rows."""
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (1 << s.bits, s.dim)).astype(np.float32)
     output, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
-    rows = [(i, w, int(y)) for t, y in zip(texts, labels, strict=True) for i, w in [bag(t, s)] if len(i)]
-    epochs, done = -(-s.steps // max(1, len(rows))), 0
-    steps = max(1, len(rows) * epochs)
-    ones = sum(y for *_, y in rows)
-    share = {1: 0.5 * len(rows) / max(ones, 1), 0: 0.5 * len(rows) / max(len(rows) - ones, 1)}
+    flat_ids, flat_w, ends, ys = bags(texts, labels, s)
+    rows, ones = len(ys), sum(ys)
+    epochs, done = -(-s.steps // max(1, rows)), 0
+    steps = max(1, rows * epochs)
+    share = {1: 0.5 * rows / max(ones, 1), 0: 0.5 * rows / max(rows - ones, 1)}
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            ids, w, y = rows[k]
+        for k in rng.permutation(rows):
+            part, y = slice(ends[k], ends[k + 1]), ys[k]
+            ids, w = flat_ids[part], flat_w[part]
             rate = s.rate * (1 - done / steps) * share[y]
             mean = w @ vectors[ids]
             logits = mean @ output + bias
@@ -193,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col:
 def scorer(docs: DataFrame, model: Model):
     """A column function: probability of class 1 of a text column (null counts as empty)."""
     weights, bias = model.weights()
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 bytes for each of 2**bits buckets
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(weights)  # 4 bytes for each of 2**bits buckets
     s = model.settings
 
     @F.pandas_udf("double")
