@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-The markup is cut into blocks. Pass 1 decides blocks by their stop-word density, length and link density, and by the
-containers they stand in; pass 2 gives each ambiguous short block the label of its nearest decided neighbours.
+The markup is cut into blocks. Pass 1 decides blocks by their stop-word density, length and link density; pass 2 gives
+each ambiguous block the label of its nearest decided neighbours. Parts that are beside the article are left out. A part
+that is named as the article is a hint only: blocks in it are not bad for few stop words, and where an article element
+stands, blocks outside it must be long to stand for themselves.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,8 +39,14 @@ SIDE_NAMES = re.compile(
     r"|menu|navbar|navigation|breadcrumb|pagination|pager|masthead|footer|social|sharing|share|related|recommend|teaser|newsletter|subscri|signup|login|copyright"
     r"|disclaimer|hidden|toolbar|guestbook|discussion)\w*|(?:ads?|nav|skip|search|tags|meta|byline|legal|aside|sponsored|outbrain|taboola|alert|topbar|toc)(?![a-z]))")
 HEADER_NAMES = re.compile(r"(?:^|[^a-z])(?:header|head|top)(?![a-z])")
+#: Names of wrappers that tell where a sidebar stands, and of parts in which an article element is no article of the page.
+LAYOUT_NAMES = re.compile(r"(?:^|[^a-z])(?:layout\w*|(?:with|has|left|right|two)[-_ ]?(?:sidebar|menu|nav)|(?:sidebar|menu|nav)[-_](?:left|right))(?![a-z])")
+OTHER_TEXTS = re.compile(r"(?:^|[^a-z])(?:comment|disqus|repl(?:y|ies)|respond|related|recommend|teaser|guestbook|discussion|outbrain|taboola)")
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|post|entry|story|main|maincontent|bodytext)(?![a-z])")
 
+#: How far a part is beside the article: a form or a layout wrapper may hold the whole page, a part named so may hold an article.
+WRAPPER, NAMED, CLEAR = 1, 2, 3
+
 #: Limits of pass 1 (characters and shares). A block below SHORT is ambiguous, from LONG on it stands for itself.
 SHORT, LONG, STOPS, MOST_LINKS = 70, 200, 0.15, 0.5
 
@@ -53,9 +62,10 @@ STOPS_OF_ALL = frozenset(w for line in STOP_WORDS.values() for w in line.split()
 class Block:
     text: str
     links: int  # characters inside links
-    side: bool  # inside a part that its markup names as no article
+    side: int  # inside a part that its markup names as no article: 0, WRAPPER, NAMED or CLEAR
     main: int  # number of the article container, 0 for none
     heading: bool
+    element: bool = False  # the article container is one by element, role or property, not by its name alone
     label: str = ""
 
 
@@ -63,12 +73,13 @@ class Block:
 class Reader:
     """Cuts one page into blocks."""
 
-    stack: list[tuple[str, bool, int]] = field(default_factory=list)  # open containers: tag, side, main
+    stack: list[tuple[str, int, int]] = field(default_factory=list)  # open containers: tag, side, main
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
     in_link: bool = False
     mains: int = 0
+    elements: set[int] = field(default_factory=set)
     heading: bool = False
     breaks: int = 0
 
@@ -95,6 +106,8 @@ class Reader:
                     self.opened(tag, m["attrs"])
         self.add(page[at:])
         self.flush()
+        for b in self.blocks:
+            b.element = b.main in self.elements
         return self.blocks
 
     def add(self, text: str) -> None:
@@ -109,7 +122,7 @@ class Reader:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, side, main = self.stack[-1] if self.stack else ("", False, 0)
+            _, side, main = self.stack[-1] if self.stack else ("", 0, 0)
             self.blocks.append(Block(text, self.links, side, main, self.heading))
         self.parts, self.links, self.breaks = [], 0, 0
 
@@ -152,22 +165,31 @@ class Reader:
             if t not in ("p", "span") and not (tag in ("li", "td", "tr") and t in ("li", "td")):
                 return
 
-    def part(self, tag: str, attrs: str) -> tuple[bool, int]:
-        """Whether the container is beside the article, and which article it belongs to."""
-        _, side, main = self.stack[-1] if self.stack else ("", False, 0)
-        if side:
-            return True, main
+    def part(self, tag: str, attrs: str) -> tuple[int, int]:
+        """How far the container is beside the article, and which article it belongs to."""
+        _, side, main = self.stack[-1] if self.stack else ("", 0, 0)
+        if side == CLEAR:
+            return side, main
         values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attrs)} if len(attrs) > 2 else {}
         name = f"{values.get('class', '')} {values.get('id', '')}"
         role = values.get("role", "")
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-        own = tag in ("article", "main") or role in ("main", "article") or "articlebody" in values.get("itemprop", "") or bool(MAIN_NAMES.search(name)) and tag in ("div", "section", "td")
-        if hidden or tag in SIDE_ELEMENTS or role in SIDE_ROLES or SIDE_NAMES.search(name) or not main and (tag == "header" or tag != "article" and HEADER_NAMES.search(name)):
-            return True, main
-        if own and not main:
+        element = tag in ("article", "main") or role in ("main", "article") or "articlebody" in values.get("itemprop", "")
+        named = SIDE_NAMES.search(name) or not main and (tag == "header" or tag != "article" and HEADER_NAMES.search(name))
+        if hidden or tag in SIDE_ELEMENTS and tag not in ("form", "fieldset") or role in SIDE_ROLES or OTHER_TEXTS.search(name):
+            return CLEAR, main
+        if named and not LAYOUT_NAMES.search(name):
+            return NAMED, main
+        if named or tag in ("form", "fieldset"):
+            return max(side, WRAPPER), main
+        if side and (main or not element):
+            return side, main
+        if not main and (element or bool(MAIN_NAMES.search(name)) and tag in ("div", "section", "td")):
             self.mains += 1
-            return False, self.mains
-        return False, main
+            main = self.mains
+        if main and element:
+            self.elements.add(main)
+        return 0, main
 
 
 def stop_density(text: str) -> float:
@@ -177,32 +199,39 @@ def stop_density(text: str) -> float:
 
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes: every block gets the label good or bad."""
-    mains = {b.main for b in blocks if not b.side} - {0}
+    element = any(b.element and not b.side for b in blocks)
     for b in blocks:
         density = b.links / len(b.text)
-        if b.side or (mains and not b.main):
+        if b.side:
             b.label = "outside"  # decided by markup; says nothing about its neighbours
         elif density > MOST_LINKS:
             b.label = "bad"
-        elif b.main and (len(b.text) >= SHORT or b.heading):
-            b.label = "good"
         elif len(b.text) < SHORT or b.heading:
             b.label = "short"
         elif stop_density(b.text) >= STOPS:
-            b.label = "good" if len(b.text) >= LONG or density < 0.2 else "short"
+            b.label = "good" if b.main or len(b.text) >= LONG or density < 0.2 and not element else "short"
         else:
-            b.label = "bad"
+            b.label = "short" if b.main else "bad"
     inner = [b for b in blocks if b.label != "outside"]
     decided = [i for i, b in enumerate(inner) if b.label in ("good", "bad")]
+    # neighbours count inside the same article, and outside of article elements
+    near_by: dict[int, list[int]] = {b.main: [] for b in inner}
+    for k in decided:
+        near_by[inner[k].main].append(k)
+    if not element:
+        near_by[0] = decided
+    good_in = {m: any(inner[k].label == "good" for k in ks) for m, ks in near_by.items()}
     given = []
     for i, b in enumerate(inner):
         if b.label != "short":
             continue
-        same = [k for k in decided if not b.main or inner[k].main == b.main and inner[k].label == "good"]
-        before = max((k for k in same if k < i), default=None)
-        after = min((k for k in same if k > i), default=None)
-        if before is None and after is None:
-            given.append((b, "good" if b.main or not decided and stop_density(b.text) > 0 and b.links == 0 else "bad"))
+        same = near_by[b.main]
+        at = bisect_left(same, i)
+        before, after = same[at - 1] if at else None, same[at] if at < len(same) else None
+        if b.main and not good_in[b.main]:
+            given.append((b, "good"))  # nothing but the container speaks
+        elif before is None and after is None:
+            given.append((b, "good" if not element and not decided and stop_density(b.text) > 0 and b.links == 0 else "bad"))
         elif before is None or after is None:
             given.append((b, inner[after if before is None else before].label))
         else:
@@ -211,6 +240,12 @@ def label(blocks: list[Block]) -> list[Block]:
             given.append((b, inner[near].label))
     for b, kind in given:
         b.label = kind
+    # a form or layout wrapper around the whole page is no side part
+    wrapped = [b for b in blocks if b.side == WRAPPER]
+    if not any(b.label == "good" for b in blocks) and any(len(b.text) >= LONG and stop_density(b.text) >= STOPS for b in wrapped):
+        for b in wrapped:
+            b.side = 0
+        return label(blocks)
     return blocks
 
 

@@ -32,6 +32,23 @@ def test_odd_markup(page, text):
     assert main_text(page) == text
 
 
+LONGER = f"{LONG} {LONG}"
+BARE = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class=main-image><p>caption</p></div><div id=text><p>{LONG}</p><p>{LONGER}</p></div>", f"caption\n\n{LONG}\n\n{LONGER}"),
+    (f"<article><p>A card.</p></article><div id=text><h2>Title</h2><p>{LONGER}</p><p>{LONG}</p></div>", f"A card.\n\nTitle\n\n{LONGER}\n\n{LONG}"),
+    (f"<div class='layout sidebar-right'><article><p>{LONG}</p></article><div class=sidebar>{LONGER}</div></div>", LONG),
+    (f"<div class='layout sidebar-right'><p>{LONGER}</p><div class=sidebar>{LONGER}</div></div>", LONGER),
+    (f"<form id=aspnet><nav>{LONGER}</nav><div><p>{LONGER}</p></div></form>", LONGER),
+    (f"<form><main><p>{LONG}</p></main></form><div id=comments><article>{LONGER}</article></div>", LONG),
+    (f"<article><p>{LONG}</p><ul><li><a href=x>{LONG}</a><li>{BARE}<li><a href=y>{LONG}</a></ul></article>", LONG),
+])
+def test_rules_decide_and_containers_hint(page, text):
+    assert main_text(page) == text
+
+
 def test_long_page_is_whole():
     body = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert main_text(f"<body><article>{body}</article></body>").count("\n\n") == 4999
