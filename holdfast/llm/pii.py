@@ -4,7 +4,7 @@ Protected entities are the values that the patterns find. For each entity the te
 and for each term its occurrences in the whole corpus. With p(e) the share of the entity among all words, IC(e) =
 -log2 p(e) is what there is to disclose, and PMI(e; t) = log2(p(e|t) / p(e)) what a term next to it discloses. A term
 of which PMI / IC reaches a threshold is removed, or from a lower threshold on generalised, in the documents that hold
-the entity.
+the entity. Pairs of any count are looked at; those that chance would explain as well are left out by a test.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from .common import small, small_batches, stored, text_of
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that count as its context.
 WINDOW = 8
-#: Disclosed share of an entity's information from which a term is removed or generalised, and the number of different
-#: contexts it must have been seen in (copies of one context tell nothing).
-REMOVE, GENERALISE, SUPPORT = 0.97, 0.9, 3
+#: Disclosed share of an entity's information from which a term is removed or generalised, and the probability below
+#: which chance must lie to put a term next to an entity in as many different contexts (copies of one context count once).
+REMOVE, GENERALISE, LEVEL = 0.97, 0.9, 0.001
 
 #: Different terms that a task counts before it hands them on.
 COUNTED = 200_000
@@ -115,8 +115,13 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> Itera
         yield entity(kind, text[start:end]), sorted({m[0].lower() for m in before[-window:] + after[:window]})
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDOW, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure for every pair at or above `generalise`, from counts over all documents.
+def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDOW, generalise: float = GENERALISE, level: float = LEVEL) -> DataFrame:
+    """entity, term, disclosure for every pair at or above `generalise` that chance explains with less than `level`, from
+    counts over all documents.
+
+    By chance a term that occurs n times stands in as many as n * 2 * window * contexts of the entity / words of the
+    corpus of its contexts (Poisson; the tail is bounded after Chernoff). So one mention is enough in a large corpus if
+    the term is nearly nowhere else.
 
     Mentions are first reduced to (entity, context) counts, terms to counts per task, so that a hot entity or word
     costs one row per task.
@@ -145,24 +150,29 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDO
 
     seen = stored(texts.mapInArrow(mentions, "entity string, terms array<string>").groupBy("entity", "terms").agg(F.count("*").alias("n")))
     total = stored(texts.mapInArrow(words, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("term_n")))
-    pairs = seen.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("pair_n")).filter(F.col("contexts") >= support)
-    of_entity = seen.groupBy("entity").agg(F.sum("n").alias("entity_n"))
+    pairs = seen.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("pair_n"))
+    of_entity = seen.groupBy("entity").agg(F.sum("n").alias("entity_n"), F.count("*").alias("entity_contexts"))
     size = total.agg(F.sum("term_n")).first()[0] or 1
     # a term may stand next to several mentions of one entity; it reveals no more than wholly
     given = F.least(F.lit(1.0), F.col("pair_n") / F.col("term_n"))
     information = -F.log2(F.least(F.lit(0.5), F.col("entity_n") / F.lit(size)))
     scored = pairs.join(total, "term").join(of_entity, "entity").withColumn("disclosure", 1 + F.log2(given) / information)
-    return scored.filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    # copies of a context count once, for the pair as for the term
+    occurs = F.col("contexts") + F.greatest(F.lit(0), F.col("term_n") - F.col("pair_n"))
+    chance = occurs * F.col("entity_contexts") * (2.0 * window / size)
+    tail = F.col("contexts") - chance + F.col("contexts") * F.log(chance / F.col("contexts"))
+    significant = (F.col("contexts") > chance) & (tail < F.log(F.lit(level)))
+    return scored.filter((F.col("disclosure") >= generalise) & significant).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remove: float = REMOVE, generalise: float = GENERALISE, level: float = LEVEL) -> DataFrame:
     """One row per input row: id, text, spans (array of kind, start, end; code points, end exclusive).
 
     Kinds are email, ip, card, phone, then `removed` and `generalised` for revealing terms in documents that hold the
     entity they reveal. Null texts count as empty and have no spans; repeated ids share the terms found for any of
     them; a null id has none. Documents without a protected entity are left alone. An empty table gives an empty result.
     """
-    terms = stored(revealing_terms(docs, text_col, window, generalise, support))
+    terms = stored(revealing_terms(docs, text_col, window, generalise, level))
     source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     @F.pandas_udf("array<string>")

@@ -63,5 +63,15 @@ def test_terms_that_reveal_wholly_are_removed(docs):
     assert [tuple(x) for x in found["spans"]] == [("email", 13, 21), ("removed", 9, 12)]
 
 
+def test_one_mention_reveals_a_term_that_is_nowhere_else(docs):
+    filler = [(1000 + i, "the words of the other text " * 40) for i in range(400)]
+    rows = corpus() + filler + [(901, "the lonely words of Quarx qu@x.org the text")]
+    got = {(r["entity"], r["term"]) for r in pii.revealing_terms(docs(rows)).collect()}
+    assert {("email:qu@x.org", "quarx"), ("email:qu@x.org", "lonely"), ("email:bo@x.org", "zyx")} <= got
+    assert not {t for _, t in got} & {"the", "words", "of", "text", "other", "rare", "alpha"}
+    spans = pii.find(docs(rows)).filter("doc_id = 901").collect()[0]["spans"]
+    assert ("removed", 20, 25) in [tuple(x) for x in spans]
+
+
 def test_empty(docs):
     assert pii.find(docs([])).count() == 0
