@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows stay below this size.
 BROADCAST_BYTES = 32 << 20
-#: Rows that a Python worker gets at a time.
-BATCH_ROWS = 512
+#: Rows and bytes that a Python worker gets at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,7 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, with its session set to hand few rows at a time to Python workers: texts and sets of n-grams are long rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
