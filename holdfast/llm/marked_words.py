@@ -2,9 +2,10 @@
 
 The model writes a space as the marker U+2581 and puts one in front of the text. If no piece holds a marker behind
 another character, no merge can reach across the place where a marker follows a word, so a text falls into marked words
-(markers and what follows them) that are segmented on their own. Characters that no longer piece holds are certain cuts
-too. Each task keeps a table of the distinct marked words it has met: a word is segmented once and its ids are joined
-back by position wherever it stands. Nothing is shuffled, so a word that makes a third of all words costs a look-up.
+(markers and what follows them) that are segmented on their own. Each task keeps a table of the distinct marked words it
+has met: a word is segmented once and its ids are joined back by position wherever it stands. Two neighbouring
+characters that stand side by side in no piece are a certain cut as well, so a new word with a comma behind it is put
+together from what is known. Nothing is shuffled: a word that makes a third of all words costs a look-up.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ MARKER = "▁"
 #: Kinds of pieces and of models, fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 #: Words that a table holds before it starts afresh; longer words are not kept.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+#: Pairs of characters below this are looked at for certain cuts.
+NEAR = 0x250
 #: Words above this length are merged with a heap, shorter ones by repeated search.
 SHORT = 40
 #: Characters that are worked on at a time.
@@ -76,8 +79,9 @@ class PieceCodec:
         usual = normalizer.get(3, 1) and not normalizer.get(4, 1) and normalizer.get(5, 1) and not normalizer.get(2) and not trainer.get(24, 0)
         if trainer.get(3, 1) != BPE or not trainer.get(35, 0) or not usual or set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE}:
             raise ValueError("only BPE models with byte fallback, a leading marker and no normalisation are known")
-        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL}
-        if any(MARKER in p.lstrip(MARKER) for p in self.ids):
+        # markers are written as spaces from here on, as in the text
+        self.ids = {p.replace(MARKER, " "): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL}
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece crosses a marker, words cannot be segmented on their own")
         self.rank = {p: -scores[i] for p, i in self.ids.items() if len(p) > 1}
         self.of_byte = [0] * 256
@@ -94,11 +98,16 @@ class PieceCodec:
         lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and c != 32) or r"(?!)"
         self.words = re.compile(f"[ {MARKER}]*+[^ {MARKER}{lone}]+|[ {MARKER}]+|[{lone}]+")
         self.plain_words = re.compile(f" *+[^ {lone}]+| +|[{lone}]+")
+        self.certain_cut = np.ones((NEAR, NEAR), bool)
+        for a, b in {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}:
+            if max(a, b) < chr(NEAR):
+                self.certain_cut[ord(a), ord(b)] = False
         self.table: dict[str, tuple] = {}
+        self.fragments: dict[str, tuple] = {}
 
     def segment(self, word: str) -> list[int]:
-        """Ids of one marked word: the best scored pair that makes a piece is joined, leftmost first, until none does."""
-        parts = list(word.replace(" ", MARKER))
+        """Ids of one fragment: the best scored pair that makes a piece is joined, leftmost first, until none does."""
+        parts = list(word)
         parts = self._join_long(parts) if len(parts) > SHORT else self._join_short(parts)
         out, ids = [], self.ids
         for p in parts:
@@ -145,16 +154,39 @@ class PieceCodec:
         """The marked words of a text in order; joined they are the text behind its leading marker."""
         return (self.plain_words if text.isascii() else self.words).findall(" " + text) if text else []
 
+    def split(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """All words cut at certain cuts: the fragments of all, and where each word ends among them."""
+        flat = "".join(words)
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        near = np.minimum(codes, NEAR - 1)
+        cut = np.empty(len(codes), bool)
+        cut[:-1] = self.certain_cut[near[:-1], near[1:]] & (codes[:-1] < NEAR - 1) & (codes[1:] < NEAR - 1)
+        ends = np.cumsum([len(w) for w in words])
+        cut[ends - 1] = True
+        at = np.flatnonzero(cut) + 1
+        return [flat[a:b] for a, b in pairwise([0, *at.tolist()])], np.searchsorted(at, ends, "right")
+
     def learn(self, words: list[str]) -> dict[str, tuple]:
-        """(ids as little-endian 32-bit numbers, ids as text, decoded bytes) of each word; short words enter the table."""
+        """(ids as text, decoded bytes) of each word; short words enter the table."""
         if len(self.table) + len(words) > REMEMBERED:
             self.table.clear()
-        found = {}
-        for w in words:
-            ids = self.segment(w)
-            found[w] = np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
-            if len(w) <= LONGEST:
-                self.table[w] = found[w]
+        if len(self.fragments) > REMEMBERED:
+            self.fragments.clear()
+        fragments, ends = self.split([w.replace(MARKER, " ") for w in words])
+        found, known, table, start = {}, self.fragments, self.table, 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            own = []
+            for f in fragments[start:end]:
+                if (got := known.get(f)) is None:
+                    ids = self.segment(f)
+                    got = ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
+                    if len(f) <= LONGEST:
+                        known[f] = got
+                own.append(got)
+            start = end
+            found[word] = own[0] if len(own) == 1 else (",".join([o[0] for o in own]), b"".join([o[1] for o in own]))
+            if len(word) <= LONGEST:
+                table[word] = found[word]
         return found
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple]]:
@@ -167,7 +199,7 @@ class PieceCodec:
         return [[found[w] for w in cut] for cut in cuts]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([e[0] for e in self.encode_batch([text])[0]]), "<i4").tolist()
+        return _whole(self.encode_batch([text])[0])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return as_text(b"".join([self.surface[i] for i in ids]))
@@ -209,13 +241,13 @@ def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_c
 
 
 def _whole(entries: list[tuple]) -> tuple:
-    ids = np.frombuffer(b"".join([e[0] for e in entries]), "<i4")
-    return ids, len(ids), as_text(b"".join([e[2] for e in entries]))
+    ids = np.array(",".join([e[0] for e in entries]).split(",") if entries else [], np.int32)
+    return ids, len(ids), as_text(b"".join([e[1] for e in entries]))
 
 
 def _digests(entries: list[tuple]) -> tuple:
-    joined = ",".join([e[1] for e in entries]).encode()
-    decoded = as_text(b"".join([e[2] for e in entries])).encode()
+    joined = ",".join([e[0] for e in entries]).encode()
+    decoded = as_text(b"".join([e[1] for e in entries])).encode()
     return joined.count(b",") + bool(joined), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
