@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,11 +40,6 @@ class Settings:
     block: int = 256
     seed: int = 11
 
-    def depths(self) -> list[int]:
-        """The longest prefix, then the longest at which the recall is met by the trees as they are."""
-        enough = (d for d in range(self.longest, 0, -1) if met_at(self, d))
-        return sorted({self.longest, next(enough, 1)}, reverse=True)
-
 
 def shingles(text: str, words: int) -> np.ndarray:
     """The set of a text's word n-grams as sorted hashes. Words are cut at white space, without case; fewer than `words`
@@ -76,13 +70,18 @@ def tree_orders(s: Settings) -> list[list[int]]:
     return [rng.permutation(s.hashes)[: s.longest].tolist() for _ in range(s.trees)]
 
 
-@lru_cache
+#: What `recall_at` has counted in this process.
+_COUNTED: dict[tuple, tuple[float, float]] = {}
+
+
 def recall_at(s: Settings, depth: int, draws: int = 1_000_000) -> tuple[float, float]:
     """Share of pairs at the threshold that share a node of some tree at the depth, and its standard error.
 
     Trees use some functions in common, so they do not find a pair independently of each other. Each function agrees
     on a pair with the threshold's probability; the share is counted over drawn pairs, the draws are always the same.
     """
+    if (s, depth, draws) in _COUNTED:
+        return _COUNTED[s, depth, draws]
     rng, found, done = np.random.default_rng(s.seed + 2), 0, 0
     trees = [order[:depth] for order in tree_orders(s)]
     while done < draws:
@@ -93,7 +92,8 @@ def recall_at(s: Settings, depth: int, draws: int = 1_000_000) -> tuple[float, f
             hit |= agree[order].all(0)
         found, done = found + int(hit.sum()), done + n
     share = found / draws
-    return share, (share * (1 - share) / draws) ** 0.5
+    _COUNTED[s, depth, draws] = share, (share * (1 - share) / draws) ** 0.5
+    return _COUNTED[s, depth, draws]
 
 
 def met_at(s: Settings, depth: int) -> bool:
@@ -105,6 +105,12 @@ def met_at(s: Settings, depth: int) -> bool:
     return share - 3 * error >= s.recall
 
 
+def depths(s: Settings) -> list[int]:
+    """The longest prefix, then the longest at which the recall is met by the trees as they are."""
+    enough = (d for d in range(s.longest, 0, -1) if met_at(s, d))
+    return sorted({s.longest, next(enough, 1)}, reverse=True)
+
+
 def features(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """id, set_key (128-bit hash of the set), signature (null for the empty set) of every row."""
     multipliers = np.random.default_rng(s.seed + 1).integers(0, 1 << 63, s.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,18 +176,26 @@ def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     Two texts are linked when the Jaccard similarity of their n-gram sets is at or above the threshold; a class holds
     all that links connect, and is named by the smallest id in it. `n_links` counts the other different sets linked to
     the row's, `n_copies` the other rows of the same set. Null and empty texts have the empty set and are copies of
-    each other. Ids are integers; a row with a null id takes part by its text, and names no class unless all ids of its
-    class are null. Rows that repeat an id with different texts are told apart by their texts' sets only as far as their
-    ids differ: the id's smallest set key counts. Other columns are not read; an empty table gives an empty result.
+    each other. Ids are integers and only carried along: rows with null or repeated ids take part by their texts. The
+    name of a class is null if all its ids are; classes that the same repeated id names differ in their set keys.
+    Other columns are not read; an empty table gives an empty result.
     """
+    rows, named = _named(docs, s, id_col, text_col)
+    out = rows.join(small(named, 80), "set_key", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("named"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "set_key")
+
+
+def _named(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set_key) of all rows; and for each set with copies or links its class_id, n_links, n_copies, and in `stays`
+    whether it is the set that stays of its class: the one of the smallest id (nulls last), then of the smallest key."""
     rows = stored(features(docs, s, id_col, text_col))
-    # each different set is one text, named by its smallest id
-    alike = stored(rows.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    reps = stored(rows.filter("signature is not null and id is not null").join(alike.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi").groupBy("id").agg(F.min_by("signature", "set_key").alias("signature")))
-    *longer, shortest = s.depths()
+    # each different set is one text; `id` is its number from here on
+    alike = stored(rows.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()))
+    reps = alike.filter("signature is not null").select("id", "signature")
+    *longer, shortest = depths(s)
     nodes = stored(_shared(_nodes(reps, s, shortest)))
     ids = stored(nodes.select("id").distinct())
-    sets = stored(_sets(docs, ids, s, id_col, text_col))
+    sets = stored(_sets(docs, alike.join(small(ids, 16), "id", "left_semi").select("id", "set_key", "rep"), s, id_col, text_col))
     # every member of a node is compared with one of them, at long prefixes and at the shortest
     partnered = reps.join(small(ids, 16), "id", "left_semi")
     stars = nodes.select("id", "lead")
@@ -193,12 +207,17 @@ def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     bridges = _bridges(nodes.select("node", "id"), components(links), sets, s)
     groups = components(stored(links.unionByName(bridges)))
     counts = stored(_link_counts(groups, sets, s))
-    known = groups.join(counts, "id", "left").select(F.col("id").alias("rep"), "component", "n_links")
     # of each set that has copies or links: its class, links and copies
-    named = stored(alike.join(known, "rep", "left").filter("n > 1 or component is not null").select(
-        "set_key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"), F.lit(True).alias("named")))
-    out = rows.select("id", "set_key").join(small(named, 60), "set_key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("named"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "set_key")
+    linked = alike.join(small(groups, 24), "id").select("id", "component", "rep", "set_key")
+    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "set_key")).alias("first")
+    tops = stored(linked.groupBy("component").agg(first).select("component", F.col("first.rep").alias("class_id"), F.col("first.set_key").alias("top")))
+    of_class = groups.join(small(tops, 60), "component").join(counts, "id", "left").select("id", "class_id", "top", "n_links")
+    joined = alike.select("id", "set_key", "rep", "n").join(of_class, "id", "left")
+    alone = F.col("top").isNull()
+    named = stored(joined.filter(F.col("top").isNotNull() | (F.col("n") > 1)).select(
+        "set_key", F.when(alone, F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"),
+        (alone | (F.col("top") == F.col("set_key"))).alias("stays"), F.lit(True).alias("named")))
+    return rows.select("id", "set_key"), named
 
 
 def _grouped(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
@@ -253,15 +272,24 @@ def _blocks(placed: DataFrame, group: str, block: int, *more: str) -> DataFrame:
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, hashes) of the given ids, from their whole texts."""
+def _hashed(s: Settings):
+    """A column function: the sorted hashes of a text's n-grams, as bytes; their MD5 is the set key."""
+    words = s.words
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, s.words).tobytes() for t in texts], dtype=object)
+        return pd.Series([shingles(t, words).tobytes() for t in texts], dtype=object)
+
+    return hashed
+
 
-    wanted = _source(docs, id_col, text_col).join(small(ids, 16), "id", "left_semi")
-    return wanted.select("id", hashed("text").alias("hashes")).groupBy("id").agg(F.min_by("hashes", F.md5("hashes")).alias("hashes"))
+def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(id, hashes) of the wanted sets (id, set_key, rep), from the whole texts of the rows that carry the id `rep`."""
+    wanted = stored(wanted)
+    carriers = wanted.select(F.col("rep").alias("carrier")).distinct()
+    texts = _source(docs, id_col, text_col).join(small(carriers, 16), F.col("id").eqNullSafe(F.col("carrier")), "left_semi")
+    found = texts.select(_hashed(s)("text").alias("hashes")).withColumn("set_key", F.unhex(F.md5("hashes")))
+    return found.join(small(wanted.select("id", "set_key"), 48), "set_key").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
 def _link_counts(groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -305,10 +333,29 @@ def links_among(sets: list[np.ndarray], threshold: float, columns: int = 4096) -
 
 
 def deduplicate(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, whole, without those whose class is named by another id: one document of each class stays.
+    """The rows of `docs`, whole, of which one document of each class stays: the one of the smallest id (nulls last).
 
-    Rows with a null id stay. Rows that repeat id and text stay together; exact deduplication takes care of them.
+    Rows are told apart by id and n-gram set. Rows that repeat both stay together; exact deduplication takes care of
+    them. Of rows that share an id but not a set each goes or stays with its own class. Texts without words are one
+    class. An empty table gives an empty result.
     """
-    found = classes(docs, s, id_col, text_col)
-    others = stored(found.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("other")).distinct())
-    return docs.join(small(others, 16), F.col(id_col).cast("long") == F.col("other"), "left_anti")
+    rows, named = _named(docs, s, id_col, text_col)
+    fate = rows.join(small(named, 80), "set_key", "left")
+    goes = F.col("named").isNotNull() & ~(F.col("stays") & F.col("id").eqNullSafe(F.col("class_id")))
+    marked = fate.select("id", "set_key", F.coalesce(goes, F.lit(False)).alias("goes"))
+    ids = stored(marked.groupBy("id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("any")).filter("any").select(F.col("id").alias("gone"), "all"))
+    own = F.col(id_col).cast("long")
+
+    def among(kept: DataFrame, how: str) -> DataFrame:
+        return docs.join(small(kept, 24), own.eqNullSafe(F.col("gone")), how)
+
+    whole = among(ids, "left_anti")
+    mixed_ids = stored(ids.filter("not all"))
+    if mixed_ids.isEmpty():
+        return whole
+    # an id of which some texts go and some stay: its rows are told apart by their sets
+    pairs = marked.filter("goes").join(small(mixed_ids, 24), F.col("id").eqNullSafe(F.col("gone")), "left_semi").select("id", "set_key").distinct()
+    packed = among(mixed_ids, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"), text_of(text_col).alias("text"))
+    keyed = small_batches(packed).withColumn("own_key", F.unhex(F.md5(_hashed(s)("text"))))
+    pairs = stored(pairs)
+    return whole.unionByName(keyed.join(small(pairs, 40), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("set_key")), "left_anti").select("row.*"))

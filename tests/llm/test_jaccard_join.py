@@ -78,11 +78,43 @@ def test_null_and_repeated_ids(docs):
     assert classes(docs([])).count() == 0 and deduplicate(docs([])).count() == 0
 
 
+def test_texts_under_repeated_and_null_ids(docs):
+    """Every row has the class and links that its text has under an id of its own."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 2, 5, i]), t) for i, t in corpus(6)]
+    numbered = {n: t for n, (_, t) in enumerate(rows)}
+    alone = brute(sorted(numbered.items()))
+    sets = {n: sets_of(t) for n, t in numbered.items()}
+    members, want = {}, []
+    for n, (c, *_) in alone.items():
+        members.setdefault(c, []).append(n)
+    for n, (c, links, copies) in alone.items():
+        ids = [rows[m][0] for m in members[c] if rows[m][0] is not None]
+        want.append((rows[n][0], min(ids, default=None), links, copies))
+    found = classes(docs(rows)).select("doc_id", "class_id", "n_links", "n_copies").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in deduplicate(docs(rows)).collect()]
+    stayed = {sets_of(t) for _, t in kept}
+    for c, own in members.items():  # one set of each class, under the class's id
+        left = {sets[m] for m in own} & stayed
+        assert len(left) == 1, c
+    assert all(len({i for i, t in kept if sets_of(t) == x}) == 1 for x in stayed)
+    assert not set(kept) - set(rows)
+
+
+def test_a_repeated_id_loses_no_unique_text(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (5, text + " end"), (5, "a wholly different text with other words in it")]
+    found = {(r["doc_id"], r["class_id"], r["n_links"]) for r in classes(docs(rows)).collect()}
+    assert found == {(1, 1, 1), (5, 1, 1), (5, 5, 0)}
+    assert sorted(r["text"] for r in deduplicate(docs(rows)).collect()) == sorted([rows[0][1], rows[2][1]])
+
+
 def test_recall_at_the_threshold():
     s = Settings()
-    for d in s.depths():
+    for d in jaccard_join.depths(s):
         assert d == s.longest or 1 - (1 - s.threshold**d) ** s.trees >= s.recall
-    assert Settings(recall=0.99).depths()[-1] >= s.depths()[-1]
+    assert jaccard_join.depths(Settings(recall=0.99))[-1] >= jaccard_join.depths(s)[-1]
 
 
 def test_measured_recall_of_the_trees():
@@ -91,7 +123,7 @@ def test_measured_recall_of_the_trees():
 
     s, rng = Settings(), np.random.default_rng(3)
     multipliers = rng.integers(0, 1 << 63, s.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    assert jaccard_join.recall_at(s, 7)[0] < s.recall <= jaccard_join.recall_at(s, s.depths()[-1])[0]
+    assert jaccard_join.recall_at(s, 7)[0] < s.recall <= jaccard_join.recall_at(s, jaccard_join.depths(s)[-1])[0]
     lost, n = 0, 20_000
     for _ in range(n // 2000):
         sets = rng.integers(0, 1 << 63, (2000, 90), dtype=np.uint64)  # 80 in common, 10 on each side
@@ -99,7 +131,7 @@ def test_measured_recall_of_the_trees():
         b = jaccard_join.signatures(list(np.concatenate([sets[:, :80], rng.integers(0, 1 << 63, (2000, 10), dtype=np.uint64)], 1)), multipliers)
         found = np.zeros(2000, bool)
         for order in jaccard_join.tree_orders(s):
-            found |= (a == b)[:, order[: s.depths()[-1]]].all(1)
+            found |= (a == b)[:, order[: jaccard_join.depths(s)[-1]]].all(1)
         lost += 2000 - found.sum()
     # 20 expected at 0.999, 84 at the 0.9958 of prefix 7
     assert lost <= 20 + 3 * 20**0.5
