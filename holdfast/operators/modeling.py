@@ -1,19 +1,17 @@
 """Preprocessing, training, tuning and cross-validation with MLlib."""
 
-import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import constants as K
+from holdfast.operators import search
 from holdfast.operators.evaluation import evaluate, summarize_folds
 from holdfast.plans.strata import stratified_folds
 from holdfast.sources.tables import ensure_checkpoint_dir
@@ -66,11 +64,12 @@ def fit_preprocessor(df: DataFrame, numerics: Sequence[str] = K.NUMERIC_COLUMNS,
 
 @dataclass(frozen=True)
 class FittedModel:
-    """A trained pipeline with the scorer interface."""
+    """A trained pipeline with the scorer interface; of a search also its table of candidates."""
 
     name: str
     version: str
-    pipeline: PipelineModel | CrossValidatorModel
+    pipeline: PipelineModel
+    found: DataFrame | None = field(default=None, compare=False)
 
     @property
     def model_version(self) -> str:
@@ -78,8 +77,7 @@ class FittedModel:
 
     @property
     def classifier(self) -> Model:
-        pipeline = self.pipeline.bestModel if isinstance(self.pipeline, CrossValidatorModel) else self.pipeline
-        return pipeline.stages[-1]
+        return self.pipeline.stages[-1]
 
     def transform(self, features: DataFrame) -> DataFrame:
         out = self.pipeline.transform(features)
@@ -161,47 +159,31 @@ def fit_ensemble(train: DataFrame, boosting=None, balanced=None, forest=None) ->
 # --- tuning --------------------------------------------------------------------
 
 
-def _search(name: str, classifier: Estimator, maps: list, train: DataFrame, folds: int, parallelism: int, version: str) -> FittedModel:
-    search = CrossValidator(
-        estimator=_pipeline(classifier), estimatorParamMaps=maps, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC"),
-    )
-    return FittedModel(name, version, search.fit(stratified_folds(train, LABEL, "customer_id", folds, SEED)))
+_LEARNERS = {"forest": RandomForestClassifier, "boosting": GBTClassifier}
 
 
-def tune(name: str, classifier: Estimator, grid: Mapping[str, Sequence], train: DataFrame, folds: int = 5, parallelism: int = 4, version: str = "v2") -> FittedModel:
-    """Best of every parameter combination by mean AUC over stratified folds."""
-    builder = ParamGridBuilder()
-    for param, values in grid.items():
-        builder = builder.addGrid(classifier.getParam(param), list(values))
-    return _search(name, classifier, builder.build(), train, folds, parallelism, version)
+def tune(name: str, kind: str, candidates: Sequence[dict], train: DataFrame, version: str = "v2", **options) -> FittedModel:
+    """Best candidate by mean AUC over stratified folds (see `search.search` and its options), fitted to all of `train`.
+
+    `kind` is "forest" or "boosting"; the model's `found` holds the result of every candidate.
+    """
+    rows = search.search(train, kind, candidates, **options)
+    found = train.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one row per candidate
+    best = _LEARNERS[kind](**_COLS, seed=SEED, **search.best_of(found, candidates))
+    return FittedModel(name, version, _pipeline(best).fit(train), found)
 
 
 def tune_forest(train: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, **options) -> FittedModel:
-    return tune("random_forest_tuned", RandomForestClassifier(**_COLS, seed=SEED), grid, train, **options)
+    return tune("random_forest_tuned", "forest", search.grid_candidates(grid), train, **options)
 
 
 def tune_boosting(train: DataFrame, grid: Mapping[str, Sequence] = BOOSTING_GRID, **options) -> FittedModel:
-    return tune("boosting_tuned", GBTClassifier(**_COLS, seed=SEED), grid, train, **options)
+    return tune("boosting_tuned", "boosting", search.grid_candidates(grid), train, **options)
 
 
-def random_search(train: DataFrame, distributions: Mapping[str, Sequence] = BOOSTING_DISTRIBUTIONS, draws: int = 50, folds: int = 5, parallelism: int = 4, seed: int = SEED) -> FittedModel:
+def random_search(train: DataFrame, distributions: Mapping[str, Sequence] = BOOSTING_DISTRIBUTIONS, draws: int = 50, seed: int = SEED, **options) -> FittedModel:
     """Best of `draws` seeded parameter draws for gradient boosting (distinct while there are enough)."""
-    gbt, rng, seen = GBTClassifier(**_COLS, seed=SEED), random.Random(seed), {}
-    space = 1
-    for values in distributions.values():
-        space *= len(values)
-    while len(seen) < min(draws, space):
-        pick = tuple(rng.choice(list(values)) for values in distributions.values())
-        seen[pick] = {gbt.getParam(p): v for p, v in zip(distributions, pick)}
-    return _search("boosting_challenger", gbt, list(seen.values()), train, folds, parallelism, "v2")
-
-
-def search_results(model: FittedModel) -> DataFrame:
-    """(candidate, params, mean AUC) of a search."""
-    cv = model.pipeline
-    rows = [(i, ", ".join(sorted(f"{p.name}={v}" for p, v in m.items())), float(a)) for i, (m, a) in enumerate(zip(cv.getEstimatorParamMaps(), cv.avgMetrics))]
-    return _session().createDataFrame(rows, "candidate int, params string, mean_auc double")
+    return tune("boosting_challenger", "boosting", search.random_candidates(distributions, draws, seed), train, **options)
 
 
 def _session():

@@ -7,7 +7,6 @@ that the registry knows can be loaded.
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 
 from holdfast.operators.modeling import Ensemble, FittedModel
@@ -38,8 +37,7 @@ def _save_pipelines(model: Fitted, path: str) -> None:
         for i, member in enumerate(model.members):
             _save_pipelines(member, f"{path}/member_{i}")
     elif isinstance(model, FittedModel):
-        best = model.pipeline.bestModel if isinstance(model.pipeline, CrossValidatorModel) else model.pipeline
-        best.write().overwrite().save(f"{path}/pipeline")
+        model.pipeline.write().overwrite().save(f"{path}/pipeline")
 
 
 def save(store: TableStore, model: Fitted) -> str:
