@@ -2,18 +2,22 @@
 
 A running total over a whole table needs a total order, which a plain window would sort in one
 task. Here the table is first reduced to one row per distinct value (equal values, however many,
-combine on the map side), then cut into cells at approximate quantiles of the distinct values. Each
-cell is ordered by its own task and starts from the total of the cells below it. The cut points only
-balance the work: every result is exact wherever they fall.
+combine on the map side) and written once. The counted rows say how many partitions they need; they
+are dealt by ranges of (group, value), each partition adds up its own rows, and the totals of the
+partitions before are joined to it. A task never holds more than about `ROWS` distinct values.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CELLS = 64
+from holdfast.plans.kept import kept
+
+#: Rows (distinct values) of a range partition.
+ROWS = 1_000_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -23,35 +27,31 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return long.groupBy(*by, "feature", "value").agg(F.count("*").alias("n"))
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
     """Add `<s>_upto` (inclusive running total along `order`) and `<s>_total` for each summed column.
 
-    `df` holds one row per (by, order), with no columns but `by`, `order` and `sums`. It is read three
-    times. Each read needs all of its columns (the two tests below see to that), so the reads are
-    equal plans and Spark runs the shuffle behind `df` once. `by` names schema-sized groups
-    (features, models, folds): the cut points (one row per group) and the cell totals (at most
-    `cells` rows per group) are small by construction and safe to broadcast.
+    `df` holds one row per (by, order), with no columns but `by`, `order` and `sums`. It is computed at once and
+    kept (see `plans/kept.py`); partition numbers are written beside the rows, so every read sees the same ranges.
+    The totals of partitions are one row per partition and group in it, which is at most partitions plus groups;
+    `by` names schema-sized groups (features, models, folds).
     """
     by = list(by)
-    probes = [i / cells for i in range(1, cells)]
-    facts = [F.array_distinct(F.percentile_approx(order, probes, 100 * cells)).alias("_cuts")]
-    facts += [F.sum(s).alias(f"{s}_total") for s in sums]
-    any_total = F.coalesce(*[F.col(f"{s}_total") for s in sums]).isNotNull()
-    if by:
-        celled = df.join(F.broadcast(df.groupBy(*by).agg(*facts).where(any_total)), by)
+    counts = kept(df)
+    parts = math.ceil(counts.count() / rows)  # from the files' footers
+    if parts > 1:
+        counts = kept(counts.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()))
     else:
-        whole = df.agg(*facts).where(any_total).select(F.struct("*")).scalar()
-        celled = df.withColumn("_f", whole).select(*df.columns, "_f.*")
-    # never NULL, or the join on it would push a NULL test of this expression down to the raw rows
-    cell = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))
-    celled = celled.withColumn("_cell", cell).drop("_cuts")
-
-    below = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    per_cell = celled.groupBy(*by, "_cell").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    per_cell = per_cell.where(F.coalesce(*[F.col(f"_{s}") for s in sums]).isNotNull())
-    offsets = per_cell.select(*by, "_cell", *[F.coalesce(F.sum(f"_{s}").over(below), F.lit(0)).alias(f"_{s}_below") for s in sums])
-    within = W.partitionBy(*by, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = celled.join(F.broadcast(offsets), [*by, "_cell"])
+        counts = counts.withColumn("_part", F.lit(0))
+
+    groups = W.partitionBy(*by)
+    per_part = counts.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    offsets = per_part.select(
+        *by, "_part",
+        *[F.coalesce(F.sum(f"_{s}").over(groups.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_{s}_below") for s in sums],
+        *[F.sum(f"_{s}").over(groups).alias(f"{s}_total") for s in sums],
+    )
+    within = W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = counts.join(F.broadcast(offsets), [*by, "_part"])
     return out.select(
         *df.columns,
         *[(F.col(f"_{s}_below") + F.sum(s).over(within)).alias(f"{s}_upto") for s in sums],

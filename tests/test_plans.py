@@ -27,13 +27,26 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_running_totals(skewed):
+@pytest.mark.parametrize("parts", [1, 64, 5000])
+def test_running_totals(spark, skewed, parts):
+    """Exact however many partitions the ranges are dealt to, empty ones among them."""
     pdf, df = skewed
-    got = running_totals(df.groupBy("x").agg(F.count("*").alias("n")), "x", ["n"], cells=16).orderBy("x").toPandas()
     want = pdf.groupby("x").size().cumsum()
+    got = running_totals(df.groupBy("x").agg(F.count("*").alias("n")), "x", ["n"], rows=len(want) / parts).orderBy("x").toPandas()
     assert got.n_upto.tolist() == want.tolist() and set(got.n_total) == {len(pdf)}
 
 
+def test_running_totals_use_the_ranges(skewed):
+    pdf, df = skewed
+    out = running_totals(df.groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["n"], ["g"], rows=100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" in plan and "_part" in plan
+    want = pdf.groupby(["g", "x"]).size().groupby(level=0).cumsum()
+    assert out.orderBy("g", "x").toPandas().n_upto.tolist() == want.tolist()
+    empty = running_totals(df.where("x < 0").groupBy("x").agg(F.count("*").alias("n")), "x", ["n"])
+    assert empty.count() == 0 and empty.columns == ["x", "n", "n_upto", "n_total"]
+
+
 def test_running_totals_by_group(skewed):
     pdf, df = skewed
     got = running_totals(df.groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["n"], ["g"]).orderBy("g", "x").toPandas()
