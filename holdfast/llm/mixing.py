@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small, stored
+from .common import small, stored, text_of
 
 #: Rows of a block on average: what one window partition holds.
 BLOCK = 2048
@@ -110,16 +110,21 @@ def _number(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
-def _key(id_col: str, epoch: Column, mix: Mix) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _tag(id_col: str, text_col: str) -> Column:
+    """What tells a row from others: its id and its text, so that rows of one id fall into different blocks."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col))).alias("tag")
 
 
-def plan(counted: DataFrame, id_col: str, mix: Mix) -> tuple[DataFrame, DataFrame]:
+def _key(epoch: Column, mix: Mix) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), "tag"))
+
+
+def plan(counted: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     """Of each source its repeats and blocks, and of each block of the last, partial pass the greatest key that is used."""
     sources = stored(weights(counted, mix).select(
         "source_key", "weight", F.floor("repeats").cast("int").alias("whole"), (F.col("repeats") - F.floor("repeats")).alias("part"),
         F.greatest(F.lit(1), F.floor(F.col("rows") / BLOCK)).cast("long").alias("blocks")))
-    key = _key(id_col, F.col("whole"), mix)
+    key = _key(F.col("whole"), mix)
     rows = counted.join(small(sources, 100), "source_key").filter("part > 0").select("source_key", "part", "n", key.alias("key"), F.pmod(_number(key), F.col("blocks")).alias("block"))
     block = W.partitionBy("source_key", "block")
     before = F.sum("n").over(block.orderBy("key", "n").rowsBetween(W.unboundedPreceding, -1))
@@ -129,9 +134,9 @@ def plan(counted: DataFrame, id_col: str, mix: Mix) -> tuple[DataFrame, DataFram
     return sources, stored(last)
 
 
-def _times(rows: DataFrame, id_col: str, mix: Mix, sources: DataFrame, last: DataFrame) -> DataFrame:
-    """`rows` (with source_key) and how often each is used."""
-    key = _key(id_col, F.col("whole"), mix)
+def _times(rows: DataFrame, mix: Mix, sources: DataFrame, last: DataFrame) -> DataFrame:
+    """`rows` (with source_key and tag) and how often each is used."""
+    key = _key(F.col("whole"), mix)
     dealt = rows.join(small(sources, 100), "source_key").withColumn("key", key).withColumn("block", F.pmod(_number(F.col("key")), F.col("blocks")))
     return dealt.join(small(last, 100), ["source_key", "block"], "left").withColumn("times", F.col("whole") + F.coalesce(F.col("key") <= F.col("last"), F.lit(False)).cast("int"))
 
@@ -141,23 +146,23 @@ def schedule(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_c
 
     Rows of `epoch` 0, 1, ... are the passes over a source; within (source, epoch, block) `place` counts from 1 in
     permuted order. Null texts count as empty; documents without words are used as often as their source's full passes
-    and cost nothing. A null source is a source of its own. Rows of equal id are used equally often, in any order among
-    themselves. Other columns are not read, and an empty table gives an empty result. No source is gathered in one
+    and cost nothing. A null source is a source of its own. Ids may repeat or be null: rows are told apart by id and text,
+    and rows that repeat both are used equally often, in any order among themselves. Other columns are not read, and an empty table gives an empty result. No source is gathered in one
     task: blocks hold about 2,048 rows, totals are pre-aggregated.
     """
-    counted = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(source_col), words(text_col).alias("n")))
-    sources, last = plan(counted, "id", mix)
-    used = _times(counted, "id", mix, sources, last).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    key = _key("id", F.col("epoch"), mix)
+    counted = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(source_col), words(text_col).alias("n"), _tag(id_col, text_col)))
+    sources, last = plan(counted, mix)
+    used = _times(counted, mix, sources, last).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    key = _key(F.col("epoch"), mix)
     placed = used.select("id", "source", "source_key", "weight", "n", "epoch", key.alias("key"), F.pmod(_number(key), F.col("blocks")).alias("block"))
     place = F.row_number().over(W.partitionBy("source_key", "epoch", "block").orderBy("key", "n"))
     return placed.select(F.col("id").alias("doc_id"), "source", F.round("weight", DIGITS).alias("weight"), F.col("n").alias("n_tokens"), "epoch", "block", place.cast("long").alias("place"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(budget=None), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, whole, each as often as `schedule` uses it. Texts are not shuffled."""
-    counted = stored(docs.select(F.col(id_col).alias("id"), source_key(source_col), words(text_col).alias("n")))
-    sources, last = plan(counted, "id", mix)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), source_key(source_col))
-    used = _times(rows, "id", mix, sources, last).filter("times > 0")
+    """The rows of `docs`, whole, each as often as `schedule` uses it; nulls, repeats and empty tables as there. Texts are not shuffled."""
+    counted = stored(docs.select(source_key(source_col), words(text_col).alias("n"), _tag(id_col, text_col)))
+    sources, last = plan(counted, mix)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(source_col), _tag(id_col, text_col))
+    used = _times(rows, mix, sources, last).filter("times > 0")
     return used.select("row", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).select("row.*")

@@ -36,7 +36,7 @@ MIX = mixing.Mix(entropy=0.99, passes=4.0, budget=1.0, seed=1)
 
 @query("op1_mixing", r"""
 with recursive t as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '\S+')), 0) as n, case when source is null then '' else '=' || source end as k from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '\S+')), 0) as n, case when source is null then '' else '=' || source end as k, coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) as tag from documents),
 tot as (select k, count(*) as cnt, sum(n) as tokens from t group by k),
 w as (select ln(tokens / (select cast(sum(tokens) as double) from tot)) as lp, ln(tokens) as lt from tot where tokens > 0),
 arr as (select list(lp) as lps, list(lt) as lts, list(struct_pack(lp := lp, lt := lt)) as s, count(*) as c, (select sum(tokens) from tot) as total from w),
@@ -56,17 +56,17 @@ a as (select greatest(case when whole then 1 else floor((select lo from be where
 src as (select k, cnt, case when tokens > 0 then exp(a * ln(tokens / total::double)) / z else 0 end as weight,
     case when tokens > 0 then round(exp(a * ln(tokens / total::double) - ln(tokens)) * (total / z), 6) else 1 end as repeats, greatest(1, cnt // 2048) as blocks
   from (select tot.*, a.a, arr.total, list_sum(list_transform(lps, lambda x: exp(a.a * x))) as z from tot, a, arr)),
-part as (select t.k, md5('1:' || floor(repeats)::int || ':' || coalesce(doc_id::varchar, '')) as key, n, blocks, repeats - floor(repeats) as part from t join src using (k)),
+part as (select t.k, md5('1:' || floor(repeats)::int || ':' || tag) as key, n, blocks, repeats - floor(repeats) as part from t join src using (k)),
 run as (select *, cast('0x' || substr(key, 1, 8) as bigint) % blocks as block from part where part > 0),
 lasts as (select k, block, max(key) as last from (
     select *, coalesce(sum(n) over (partition by k, block order by key, n rows between unbounded preceding and 1 preceding), 0) + n / 2 <= part * sum(n) over (partition by k, block) as used from run)
   where used group by k, block),
 times as (select t.*, src.weight, src.blocks, floor(repeats)::int + case when exists (
-    select 1 from lasts where lasts.k = t.k and lasts.block = cast('0x' || substr(md5('1:' || floor(repeats)::int || ':' || coalesce(doc_id::varchar, '')), 1, 8) as bigint) % src.blocks
-      and md5('1:' || floor(repeats)::int || ':' || coalesce(doc_id::varchar, '')) <= lasts.last) then 1 else 0 end as times
+    select 1 from lasts where lasts.k = t.k and lasts.block = cast('0x' || substr(md5('1:' || floor(repeats)::int || ':' || tag), 1, 8) as bigint) % src.blocks
+      and md5('1:' || floor(repeats)::int || ':' || tag) <= lasts.last) then 1 else 0 end as times
   from t join src using (k)),
-uses as (select doc_id, source, k, weight, n, blocks, unnest(range(times))::int as epoch from times),
-keyed as (select *, md5('1:' || epoch || ':' || coalesce(doc_id::varchar, '')) as key from uses),
+uses as (select doc_id, source, k, tag, weight, n, blocks, unnest(range(times))::int as epoch from times),
+keyed as (select *, md5('1:' || epoch || ':' || tag) as key from uses),
 placed as (select *, cast('0x' || substr(key, 1, 8) as bigint) % blocks as block from keyed)
 select doc_id, source, round(weight, 6) as weight, n as n_tokens, epoch, block, row_number() over (partition by k, epoch, block order by key, n) as place from placed""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
