@@ -32,6 +32,7 @@ BLOCKS = (
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption"
 ).split()
 CONTAINERS = "article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul li td tr p h1 h2 h3 h4 h5 h6 span".split()
+RAW = "script style textarea title".split()
 SIDE_ELEMENTS = "nav footer aside form menu dialog fieldset".split()
 SIDE_ROLES = "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split()
 SIDE_NAMES = re.compile(
@@ -42,11 +43,16 @@ HEADER_NAMES = re.compile(r"(?:^|[^a-z])(?:header|head|top)(?![a-z])")
 #: Names of wrappers that tell where a sidebar stands, and of parts in which an article element is no article of the page.
 LAYOUT_NAMES = re.compile(r"(?:^|[^a-z])(?:layout\w*|(?:with|has|left|right|two)[-_ ]?(?:sidebar|menu|nav)|(?:sidebar|menu|nav)[-_](?:left|right))(?![a-z])")
 OTHER_TEXTS = re.compile(r"(?:^|[^a-z])(?:comment|disqus|repl(?:y|ies)|respond|related|recommend|teaser|guestbook|discussion|outbrain|taboola)")
+#: Class names that tell what an article is about: what follows them names no part of the page.
+SLUGS = re.compile(r"(?<!\S)(?:category|categories|tags?|topic|author|format|status|type|term|lang)[-_]\S+")
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|post|entry|story|main|maincontent|bodytext)(?![a-z])")
 
 #: How far a part is beside the article: a form or a layout wrapper may hold the whole page, a part named so may hold an article.
 WRAPPER, NAMED, CLEAR = 1, 2, 3
 
+#: A page whose text has fewer stop words than this is in a language without a list; length and link density decide there.
+UNKNOWN = 0.03
+
 #: Limits of pass 1 (characters and shares). A block below SHORT is ambiguous, from LONG on it stands for itself.
 SHORT, LONG, STOPS, MOST_LINKS = 70, 200, 0.15, 0.5
 
@@ -54,6 +60,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+>|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NEXT_BLOCK = re.compile(rf"(?=</?(?:{'|'.join(b for b in BLOCKS if b not in ('option', 'optgroup'))})\b)", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 STOPS_OF_ALL = frozenset(w for line in STOP_WORDS.values() for w in line.split())
 
@@ -97,6 +104,8 @@ class Reader:
                         end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                         # a head that is never closed ends where the body begins
                         end = end or (tag == "head" and re.compile(r"(?=<body\b)", re.I).search(page, at)) or None
+                        # another one without its end tag, unless it holds raw text, ends where the next block begins or ends
+                        end = end or (tag not in RAW and NEXT_BLOCK.search(page, at)) or None
                         at = end.end() if end else len(page)
                     if tag not in ("button", "select", "svg", "math", "map"):
                         self.flush()
@@ -171,12 +180,12 @@ class Reader:
         if side == CLEAR:
             return side, main
         values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attrs)} if len(attrs) > 2 else {}
-        name = f"{values.get('class', '')} {values.get('id', '')}"
+        name = SLUGS.sub("", f"{values.get('class', '')} {values.get('id', '')}")
         role = values.get("role", "")
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
         element = tag in ("article", "main") or role in ("main", "article") or "articlebody" in values.get("itemprop", "")
         named = SIDE_NAMES.search(name) or not main and (tag == "header" or tag != "article" and HEADER_NAMES.search(name))
-        if hidden or tag in SIDE_ELEMENTS and tag not in ("form", "fieldset") or role in SIDE_ROLES or OTHER_TEXTS.search(name):
+        if hidden or tag in SIDE_ELEMENTS and tag not in ("form", "fieldset") or role in SIDE_ROLES or OTHER_TEXTS.search(name) and not element:
             return CLEAR, main
         if named and not LAYOUT_NAMES.search(name):
             return NAMED, main
@@ -199,6 +208,11 @@ def stop_density(text: str) -> float:
 
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes: every block gets the label good or bad."""
+    listed = stop_density(" ".join(b.text for b in blocks if b.links <= MOST_LINKS * len(b.text))) >= UNKNOWN
+
+    def rich(b: Block) -> bool:
+        return not listed or stop_density(b.text) >= STOPS
+
     element = any(b.element and not b.side for b in blocks)
     for b in blocks:
         density = b.links / len(b.text)
@@ -208,7 +222,7 @@ def label(blocks: list[Block]) -> list[Block]:
             b.label = "bad"
         elif len(b.text) < SHORT or b.heading:
             b.label = "short"
-        elif stop_density(b.text) >= STOPS:
+        elif rich(b):
             b.label = "good" if b.main or len(b.text) >= LONG or density < 0.2 and not element else "short"
         else:
             b.label = "short" if b.main else "bad"
@@ -240,12 +254,13 @@ def label(blocks: list[Block]) -> list[Block]:
             given.append((b, inner[near].label))
     for b, kind in given:
         b.label = kind
-    # a form or layout wrapper around the whole page is no side part
-    wrapped = [b for b in blocks if b.side == WRAPPER]
-    if not any(b.label == "good" for b in blocks) and any(len(b.text) >= LONG and stop_density(b.text) >= STOPS for b in wrapped):
-        for b in wrapped:
-            b.side = 0
-        return label(blocks)
+    # where nothing is left, a form or layout wrapper around the whole page is no side part, nor is a part for its name alone
+    for far in (WRAPPER, NAMED):
+        inside = [b for b in blocks if b.side == far]
+        if not any(b.label == "good" for b in blocks) and any(len(b.text) >= LONG and rich(b) and b.links < 0.2 * len(b.text) for b in inside):
+            for b in inside:
+                b.side = 0
+            return label(blocks)
     return blocks
 
 

@@ -49,6 +49,25 @@ def test_rules_decide_and_containers_hint(page, text):
     assert main_text(page) == text
 
 
+RUSSIAN = "Эта страница рассказывает о том, как устроены поисковые роботы, и почему они читают одни документы чаще других. " * 3
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article class='post category-social'><p>{LONGER}</p></article>", LONGER),
+    (f"<article class='post tags-news'><p>{LONGER}</p></article>", LONGER),
+    (f"<article class='related-post'><p>{LONGER}</p></article>", LONGER),
+    (f"<div class='share-story main'><p>{LONGER}</p></div><nav>{LONGER}</nav>", LONGER),
+    (f"<article><p>{LONG}</p></article><div class='related'><article class='related-post'><p>{LONGER}</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONGER}</p></article>", LONG),
+    (f"<div><p>{RUSSIAN}</p></div><ul><li><a href=x>{RUSSIAN}</a></ul><footer>{RUSSIAN}</footer>", RUSSIAN.strip()),
+    (f"<p>{LONGER}<button>Press<p>{LONG}</p>", f"{LONGER}\n\n{LONG}"),
+    (f"<div><svg><path><p>{LONGER}</p></div>", LONGER), (f"<div><select><option>a<p>{LONGER}</p></div>", f"{LONGER}"),
+    (f"<p>{LONGER}</p><script>var x = '<p>{LONG}</p>'", LONGER),
+])
+def test_names_languages_and_missing_end_tags(page, text):
+    assert main_text(page) == text
+
+
 def test_long_page_is_whole():
     body = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert main_text(f"<body><article>{body}</article></body>").count("\n\n") == 4999
