@@ -10,7 +10,7 @@ the entity. Pairs of any count are looked at; those that chance would explain as
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, small_batches, stored, text_of
+from .common import bounded, small_batches, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that count as its context.
@@ -98,21 +98,16 @@ class Covered:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, list[str]]]:
-    """For each mention its entity and the different terms around it, those of other mentions left out."""
+    """For each mention its entity and the different terms around it, those of other mentions left out.
+
+    The text's words are found once; a mention's neighbours are looked up by place.
+    """
     taken = Covered(spans)
+    words = [m.span() for m in WORD.finditer(text) if not taken.touches(*m.span())]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
     for kind, start, end in spans:
-        # the text next to the mention holds the words wanted unless they are very long; then more of it is read
-        before, after, reach = [], [], window * 16
-        while True:
-            lo, hi = max(0, start - reach), min(len(text), end + reach)
-            near = [m for m in WORD.finditer(text, lo, hi) if not taken.touches(*m.span())]
-            # a word cut by the edge of the part read is not whole
-            near = [m for m in near if (m.start() > lo or lo == 0) and (m.end() < hi or hi == len(text))]
-            before, after = [m for m in near if m.end() <= start], [m for m in near if m.start() >= end]
-            if (len(before) >= window or lo == 0) and (len(after) >= window or hi == len(text)):
-                break
-            reach *= 4
-        yield entity(kind, text[start:end]), sorted({m[0].lower() for m in before[-window:] + after[:window]})
+        i, j = bisect_right(ends, start), bisect_left(starts, end)
+        yield entity(kind, text[start:end]), sorted({text[a:b].lower() for a, b in words[max(0, i - window) : i] + words[j : j + window]})
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDOW, generalise: float = GENERALISE, level: float = LEVEL) -> DataFrame:
@@ -168,9 +163,9 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = WINDO
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remove: float = REMOVE, generalise: float = GENERALISE, level: float = LEVEL) -> DataFrame:
     """One row per input row: id, text, spans (array of kind, start, end; code points, end exclusive).
 
-    Kinds are email, ip, card, phone, then `removed` and `generalised` for revealing terms in documents that hold the
-    entity they reveal. Null texts count as empty and have no spans; repeated ids share the terms found for any of
-    them; a null id has none. Documents without a protected entity are left alone. An empty table gives an empty result.
+    Kinds are email, ip, card, phone, then `removed` and `generalised` for revealing terms in texts that hold the
+    entity they reveal. Null texts count as empty and have no spans; ids are only carried along, so null and repeated
+    ones do no harm. Texts without a protected entity are left alone. An empty table gives an empty result.
     """
     terms = stored(revealing_terms(docs, text_col, window, generalise, level))
     source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -179,15 +174,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def entities(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({entity(k, t[s:e]) for k, s, e in base_spans(t)}) for t in texts], dtype=object)
 
-    # which documents need which terms: entities of the documents joined with the few that have terms
-    held = source.select("id", F.explode(entities("text")).alias("entity")).join(small(terms, 100), "entity")
-    needed = stored(held.groupBy("id").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms")))
+    # which texts need which terms: entities of each text joined with the few that have terms
+    own = terms.withColumn("bytes", F.octet_length("entity") + F.octet_length("term") + 32)
+    held = source.select(F.md5("text").alias("key"), F.explode(entities("text")).alias("entity")).join(bounded(own, "bytes").drop("bytes"), "entity")
+    listed = F.collect_set(F.struct("term", "disclosure"))
+    needed = stored(held.groupBy("key").agg(listed.alias("terms")).withColumn("bytes", F.aggregate("terms", F.lit(64), lambda n, x: n + F.octet_length(x["term"]) + 32)))
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
     def spans(texts: pd.Series, terms_: pd.Series) -> pd.Series:
         return pd.Series([all_spans(t, terms_at(x), remove) for t, x in zip(texts, terms_, strict=True)], dtype=object)
 
-    rows = source.join(small(needed, 1000), "id", "left")
+    rows = source.withColumn("key", F.md5("text")).join(bounded(needed, "bytes").drop("bytes"), "key", "left")
     listed = F.coalesce("terms", F.array().cast("array<struct<term: string, disclosure: double>>"))
     return rows.select(F.col("id").alias(id_col), "text", spans("text", listed).alias("spans"))
 

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -31,6 +32,24 @@ def test_long_texts_take_linear_time():
         pii.base_spans(t)
 
 
+def test_many_mentions_in_a_long_text_take_linear_time():
+    for t in ("1.1.1.1 " * 125_000, "a@b.de " * 140_000, ("word " * 20 + "1.1.1.1 ") * 9_000):
+        began = time.process_time()
+        found = list(pii.contexts(t, pii.base_spans(t), pii.WINDOW))
+        assert len(found) >= 9_000 and time.process_time() - began < 5
+
+
+def test_contexts_against_a_recount():
+    """Words around each mention from a plain list of all words."""
+    rng = random.Random(6)
+    for _ in range(300):
+        t = " ".join(rng.choice(["word", "Other", "a@b.de", "1.1.1.1", "x", "4111111111111111", "+49 170 1234567", "word-two", "é", "naïve9name"]) for _ in range(rng.randrange(30)))
+        spans = pii.base_spans(t)
+        free = [m for m in re.finditer(r"[^\W\d_]{2,}", t) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+        want = [(pii.entity(k, t[s:e]), sorted({m[0].lower() for m in [m for m in free if m.end() <= s][-3:] + [m for m in free if m.start() >= e][:3]})) for k, s, e in spans]
+        assert list(pii.contexts(t, spans, 3)) == want
+
+
 def corpus():
     """bo@x.org is always next to `zyx`; `the` is everywhere; `rare` stands next to it once, as often as copies repeat it."""
     words = "alpha beta gamma delta epsilon".split()
@@ -50,7 +69,8 @@ def test_find(docs):
     found = pii.find(docs(rows))
     spans = {(r["doc_id"], r["text"]): [tuple(s) for s in r["spans"]] for r in found.collect()}
     assert spans[1, rows[1][1]] == [("email", 13, 21), ("generalised", 9, 12)]
-    assert spans[900, "zyx without the entity"] == [] and spans[901, ""] == [] and spans[None, "bo@x.org zyx"] == [("email", 0, 8)]
+    assert spans[900, "zyx without the entity"] == [] and spans[901, ""] == [] and spans[0, "second row of one id zyx"] == []
+    assert spans[None, "bo@x.org zyx"] == [("email", 0, 8), ("generalised", 9, 12)]
     assert all(not s for (i, _), s in spans.items() if i and 100 <= i < 800)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found.filter(F.col("doc_id") == 1)).collect()}
     assert clean[1] == "the beta [TERM] [EMAIL] delta the end"
