@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows stay below this size.
 BROADCAST_BYTES = 32 << 20
-#: Rows and bytes that a Python worker gets at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
+#: Rows that a Python worker gets at a time.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once.
+
+    The folder goes when the session's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,10 +47,14 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def bounded(df: DataFrame, size: str) -> DataFrame:
+    """As `small`, by the sum of a column that holds each row's bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, with its session set to hand few rows at a time to Python workers: texts and sets of n-grams are long rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

@@ -149,6 +149,8 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), REPAIR
 def _repair_short(rows: DataFrame, c: Costs) -> DataFrame:
     row = F.struct("turn", "role", "text", *[v.alias(k) for k, v in _judged().items()])
     each = F.when(F.col("copies") > 0, F.array_repeat(row, F.col("copies")))
+    # a conversation has up to `short_bytes`, so the bytes of a batch are bounded too
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 * c.short_bytes)
     whole = small_batches(rows.groupBy("conv_id").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("rows")))
     schema = f"conv_id {whole.schema['conv_id'].dataType.simpleString()}, {FIGURES}, repaired {REPAIRED}"
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import small, small_batches, stored, text_of
 from .components import components
-from .subwords import MULTIPLIER, mixed, pieces, word_hashes
+from .subwords import MULTIPLIER, all_word_hashes, mixed
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,7 @@ class Settings:
 def shingles(text: str, words: int) -> np.ndarray:
     """The set of a text's word n-grams as sorted hashes. Words are cut at white space, without case; fewer than `words`
     words make one n-gram, a text without words the empty set."""
-    found = [word_hashes(codes) for codes in pieces(text, lower=True)]
-    w = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    w = all_word_hashes(text, lower=True)
     if not len(w):
         return w
     size = min(words, len(w))

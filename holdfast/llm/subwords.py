@@ -20,7 +20,7 @@ from .common import small_batches, text_of
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-#: Characters handled at a time; longer texts go through in pieces cut at white space.
+#: Characters handled at a time; longer texts go through in pieces. Nothing is lost or counted twice where they meet.
 PIECE = 1 << 17
 #: Largest step in any direction, for stable training.
 CLIP = 4.0
@@ -31,6 +31,7 @@ class Settings:
     """Shape and training of a model. `ones` and `zeros` bound the labelled rows of each class that are learned from.
 
     Every row is learned from equally often, `steps` times in all. `neutral` zero vectors join each average, so that a few chance n-grams of a short text do not decide it.
+    A vector loses the share `decay` of its length whenever a text with it is learned.
     """
 
     bits: int = 18
@@ -43,6 +44,7 @@ class Settings:
     ones: int = 1500
     zeros: int = 4000
     neutral: int = 400
+    decay: float = 0.0
     seed: int = 7
 
 
@@ -67,22 +69,26 @@ def _powers(base: np.uint64) -> np.ndarray:
 POWERS, INVERSES = _powers(MULTIPLIER), _powers(INVERSE)
 
 
-def pieces(text: str, lower: bool) -> Iterator[np.ndarray]:
-    """Character codes of the text with single spaces around its words, in bounded pieces."""
-    words = (text.lower() if lower else text).split()
-    flat = " ".join(words)
-    start = 0
-    while start < len(flat):
-        end = start + PIECE - 2
-        if end < len(flat):
-            cut = flat.rfind(" ", start, end)
-            end = cut if cut > start else end
-        yield np.frombuffer(f" {flat[start:end].strip(' ')} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        start = end + (end < len(flat) and flat[end] == " ")
+def pieces(text: str, lower: bool) -> Iterator[list[str]]:
+    """The words of the text in runs of bounded length; a word above the bound is a run of its own."""
+    run, size = [], 0
+    for word in (text.lower() if lower else text).split():
+        if run and size + len(word) + 2 > PIECE:
+            yield run
+            run, size = [], 0
+        run.append(word)
+        size += len(word) + 1
+    if run:
+        yield run
 
 
-def buckets(codes: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
-    """Bucket numbers of one piece: character n-grams by length, words, word pairs."""
+def codes_of(run: list[str]) -> np.ndarray:
+    """Character codes of a run with single spaces around its words."""
+    return np.frombuffer(f" {' '.join(run)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(codes: np.ndarray, s: Settings, known: int = 0) -> Iterator[np.ndarray]:
+    """Bucket numbers of the character n-grams by length; those that end within the first `known` characters are left out."""
     shift = np.uint64(64 - s.bits)
     c = codes.astype(np.uint64) + np.uint64(1)
     space = codes == 32
@@ -95,23 +101,55 @@ def buckets(codes: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
         inside = inside[:-1] if n == 2 else inside[:-1] & ~space[n - 2 : -1]
         if n >= s.shortest:
             # a space next to itself never occurs, so a gram that is all border cannot either
-            yield (mixed(h[inside] + np.uint64(n)) >> shift).astype(np.int32)
-    at = np.flatnonzero(space)
-    if len(at) > 1:
-        words = word_hashes(codes)
+            new = max(0, known - n + 1)
+            yield (mixed(h[new:][inside[new:]] + np.uint64(n)) >> shift).astype(np.int32)
+
+
+def buckets(text: str, s: Settings) -> Iterator[np.ndarray]:
+    """Bucket numbers of a text: character n-grams by length, words, word pairs."""
+    shift, last = np.uint64(64 - s.bits), np.zeros(0, np.uint64)
+    for run in pieces(text, s.lower):
+        if len(run[0]) <= PIECE:
+            codes = codes_of(run)
+            yield from grams(codes, s)
+            words = word_hashes(codes)
+        else:
+            bordered = f" {run[0]} "
+            for at in range(0, len(bordered), PIECE):
+                known = min(at, s.longest - 1)
+                yield from grams(np.frombuffer(bordered[at - known : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32), s, known)
+            words = long_word_hash(run[0])
         yield (mixed(words) >> shift).astype(np.int32)
+        words = np.concatenate([last, words])
         pairs = mixed(words[:-1] * MULTIPLIER + words[1:] + np.uint64(2))
         pairs[words[:-1] == words[1:]] = 0
         yield (pairs >> shift).astype(np.int32)
+        last = words[-1:]
+
+
+def all_word_hashes(text: str, lower: bool) -> np.ndarray:
+    """A hash of each word of a text, in order."""
+    found = [word_hashes(codes_of(run)) if len(run[0]) <= PIECE else long_word_hash(run[0]) for run in pieces(text, lower)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def word_hashes(codes: np.ndarray) -> np.ndarray:
-    """A hash of each word of a piece: differences of one running sum, brought to the same power."""
+    """A hash of each word of a run: differences of one running sum, brought to the same power."""
     at = np.flatnonzero(codes == 32)
     total = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * POWERS[: len(codes)])
     return (total[at[1:] - 1] - total[at[:-1]]) * INVERSES[at[:-1] + 1]
 
 
+def long_word_hash(word: str) -> np.ndarray:
+    """The same hash of one word of any length, some characters at a time."""
+    total, mask = 0, (1 << 64) - 1
+    for at in range(0, len(word), PIECE):
+        codes = np.frombuffer(word[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        part = int(((codes.astype(np.uint64) + np.uint64(1)) * POWERS[: len(codes)]).sum(dtype=np.uint64))
+        total = (total + part * pow(int(MULTIPLIER), at, 1 << 64)) & mask
+    return np.array([total], np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the hash over its high bits."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -120,7 +158,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares (empty for an empty text)."""
-    found = [b for codes in pieces(text, s.lower) for b in buckets(codes, s)]
+    found = list(buckets(text, s))
     if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     ids, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -169,7 +207,7 @@ def train(texts: list[str], labels: list[int], s: Settings, prior: float | None
             back = np.clip(output @ p, -CLIP, CLIP)
             output -= rate * np.outer(np.clip(mean, -CLIP, CLIP), p)
             bias -= 0.1 * rate * p
-            vectors[ids] -= (rate * 20) * w[:, None] * back
+            vectors[ids] = vectors[ids] * (1 - s.decay) - (rate * 20) * w[:, None] * back
             done += 1
     if prior is not None and 0 < prior < 1:
         bias = bias + np.array([np.log(1 - prior), np.log(prior)], np.float32) - np.log(0.5)
@@ -179,10 +217,9 @@ def train(texts: list[str], labels: list[int], s: Settings, prior: float | None
 def score_text(text: str, s: Settings, weights: np.ndarray, bias: float) -> float:
     """Probability of class 1; an empty text has no vectors and gets the bias alone."""
     total, n = 0.0, 0
-    for codes in pieces(text, s.lower):
-        for b in buckets(codes, s):
-            total += float(weights[b].sum(dtype=np.float64))
-            n += len(b)
+    for b in buckets(text, s):
+        total += float(weights[b].sum(dtype=np.float64))
+        n += len(b)
     z = bias + (total / (n + s.neutral) if n else 0.0)
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -195,7 +232,8 @@ def held_out(id_col: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from at most `ones` and `zeros` labelled rows of the other folds, picked by the hash of their id.
 
-    Only these picked ids and their whole texts reach the driver, a bounded number. Labels that are null or neither 0
+    Only these picked ids and one whole text of each reach the driver, a bounded number of rows. Of documents that
+    repeat an id the least text counts; an id with both labels is learned as both. Labels that are null or neither 0
     nor 1 are passed over; a label without a document is not counted. Without any usable row all scores are 0.5.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
@@ -206,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col:
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["id"], r["y"]) for r in picked], own.select("id", "y").schema)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(wanted), "id").orderBy("id", "text", "y").collect()
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(wanted), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "text", "y").collect()
     return train([r["text"] for r in rows], [r["y"] for r in rows], s, counts.get(1, 0) / sum(counts.values()))
 
 

@@ -57,14 +57,17 @@ def test_score_is_the_average_of_all_grams():
         assert subwords.score_text(text, SMALL, weights, 0.3) == pytest.approx(brute_score(text, SMALL, weights, 0.3), abs=1e-6)
 
 
-def test_long_texts_go_through_in_pieces(monkeypatch):
+def test_pieces_lose_nothing(monkeypatch):
+    """The score and the words of a text are the same however it is cut, pairs across a cut and long words included."""
     weights = np.random.default_rng(1).normal(0, 5, 1 << SMALL.bits).astype(np.float32)
-    text = " ".join(f"word{i % 977}" for i in range(60_000))
-    whole = subwords.score_text(text, SMALL, weights, 0.0)
-    monkeypatch.setattr(subwords, "PIECE", 5_000)
-    # only the word pairs across a cut are left out
-    assert subwords.score_text(text, SMALL, weights, 0.0) == pytest.approx(whole, abs=2e-3)
-    assert len(list(subwords.pieces("y" * 20_000, True))) == 5
+    texts = [" ".join(f"word{i % 977}" for i in range(3_000)), "y" * 2_000 + " and " + "ab" * 3_000, "z" * 700, "one " * 500]
+    want = [subwords.score_text(t, SMALL, weights, 0.0) for t in texts]
+    words = [subwords.all_word_hashes(t, True).tolist() for t in texts]
+    assert want[0] == pytest.approx(brute_score(texts[0], SMALL, weights, 0.0), abs=1e-6)
+    for piece in (40, 333, 1024):
+        monkeypatch.setattr(subwords, "PIECE", piece)
+        assert [subwords.score_text(t, SMALL, weights, 0.0) for t in texts] == pytest.approx(want, abs=1e-9)
+        assert [subwords.all_word_hashes(t, True).tolist() for t in texts] == words
 
 
 def test_learns_words_and_their_misspellings():
@@ -111,6 +114,13 @@ def test_odd_tables(labelled, spark):
     assert {r["score"] for r in nothing.collect()} == {0.5}
 
 
+def test_repeated_ids_send_one_text_each(labelled, spark):
+    docs, labels = labelled
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~"), "text")))
+    one, two = (subwords.fit(x, labels, "toxic", SMALL) for x in (docs, more))
+    assert (one.vectors == two.vectors).all()
+
+
 def test_remove_keeps_whole_rows(labelled):
     docs, labels = labelled
     left = toxicity.remove(docs, labels, SMALL)
