@@ -7,9 +7,12 @@ from checks.q_history import TRANS, WOW
 from checks.registry import query
 from checks.sqltext import FEATURES, SCORECARD, pct, psi_sql, rnd
 from holdfast.functions import risk as R
+from holdfast.functions.rounding import half_up
 from holdfast.operators import drift as D
 from holdfast.operators import history as H
 from holdfast.operators import joins as J
+from holdfast.operators import sketches as Z
+from holdfast.sources.tables import TableStore
 
 _STATUS = "case when psi<0.1 then 'Stable' when psi<0.2 then 'Moderate' else 'Significant' end"
 _LONG = "(" + " union all ".join(f"""select split, '{f}' as feature, "{f}"::double as value from t_feat join (select customer_id, split from t_split) s using (customer_id)""" for f in FEATURES) + ")"
@@ -121,6 +124,8 @@ def _(t):
     return D.check_segments(t.cp)
 
 
+_PROBES = [0.1, 0.25, 0.4, 0.5, 0.7, 0.9]
+
 _SNAP = f"""select p is not null as has_previous_snapshot, {rnd('p', 6)} as previous_mean, {rnd('c', 6)} as current_mean, {rnd('coalesce(abs(c-p),0)', 6)} as drift, coalesce(abs(c-p)>0.1,false) as alert
  from (select avg(churn_probability) c, (select arg_max(mean_score, snapshot_at) from t_snaps where snapshot_at<timestamp '2024-01-31') p from t_cp) x"""
 
@@ -136,6 +141,36 @@ def _(t):
     return D.take_snapshot(t.cp, t.now).withColumn("mean_score", half_up(F.col("mean_score"), 6))
 
 
+def _sketched(t):
+    """A store with one sketch of the archived scores per day, and one of today's."""
+    store = TableStore(t.spark, t.folder)
+    Z.record(store, t.h.withColumn("day", F.to_date("archived_at")), ["churn_probability"], "history")
+    Z.record(store, t.cp.withColumn("day", F.to_date(t.now)), ["churn_probability"], "today")
+    return store
+
+
+@query("D10_sketch_shares", " union all ".join(f"select {p}::double as below, {rnd(f'1.0::double*count(*) filter (where churn_probability<{p})/count(*)', 6)} as share, true as within_bound from t_h where archived_at<timestamp '2024-01-31'" for p in _PROBES))
+def _(t):
+    """Shares below fixed scores over all stored days, read from merged sketches, against the exact ones."""
+    merged = Z.merge(Z.stored(_sketched(t), "1970-01-01", "2024-01-30")).withColumn("q", Z.grid(F.col("sketch")))
+    found = merged.select(F.explode(F.array(*[F.struct(F.lit(p).alias("below"), Z.share_below(F.col("q"), F.lit(p)).alias("sketched")) for p in _PROBES])).alias("x")).select("x.*")
+    scores = t.h.where(F.col("archived_at") < t.now)
+    exact = scores.agg(*[(F.count_if(F.col("churn_probability") < p) / F.count("*")).alias(f"p{i}") for i, p in enumerate(_PROBES)])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(p).alias("below"), F.col(f"p{i}").alias("share")) for i, p in enumerate(_PROBES)])))
+    return found.join(exact, "below").select("below", half_up(F.col("share"), 6).alias("share"), (F.abs(F.col("sketched") - F.col("share")) <= Z.rank_error()).alias("within_bound"))
+
+
+@query("D10_distribution_drift", f"""select 'churn_probability' as feature, (select count(*) from t_h where archived_at<timestamp '2024-01-31') as n_expected, count(*) as n_actual,
+ {rnd("avg(churn_probability)-(select avg(churn_probability) from t_h where archived_at<timestamp '2024-01-31')", 6)} as mean_shift, true as psi_close, true as shift_in_range from t_cp""")
+def _(t):
+    """Today's scores against the stored baseline; the exact PSI of the same rows is near."""
+    store = _sketched(t)
+    found = Z.distribution_drift(Z.stored(store, "1970-01-01", "2024-01-30"), Z.stored(store, "2024-01-31", "2024-01-31"))
+    exact = D.psi(t.h.where(F.col("archived_at") < t.now), t.cp, "churn_probability").select("psi").scalar()
+    close = F.abs(F.col("psi") - exact) <= 0.02 + 0.1 * exact
+    return found.select("feature", "n_expected", "n_actual", half_up(F.col("mean_shift"), 6).alias("mean_shift"), close.alias("psi_close"), F.col("greatest_shift").between(0, 1).alias("shift_in_range"))
+
+
 def _f4(c: str) -> str:
     return f"printf('%.4f', {rnd(c, 4)})"
 

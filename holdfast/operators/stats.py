@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast import constants as K
 from holdfast.functions.customer import churned
 from holdfast.functions.rounding import half_up
+from holdfast.functions.tails import student_two_sided
 from holdfast.plans.ordered import quantiles, value_counts
 
 EDA_NUMERICS = ["tenure", "monthly_charges", "total_charges", "senior_citizen"]
@@ -56,12 +57,22 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def point_biserial(rc: DataFrame, columns: Sequence[str] = K.NUMERIC_COLUMNS) -> DataFrame:
-    """r of each numeric with churn, with n and the t statistic of r."""
+    """r of each numeric with churn, with n and the t statistic of r (see `significance` for its p-value)."""
     r = numeric_correlations(rc, columns, churned(F.col("churn")))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
     return r.select("feature", half_up(F.col("r"), 4).alias("point_biserial_r"), "n", half_up(t, 4).alias("t_statistic"))
 
 
+def significance(rc: DataFrame, columns: Sequence[str] = K.NUMERIC_COLUMNS) -> DataFrame:
+    """(feature, n, p_value): the two-sided p-value of each numeric's correlation with churn, by Student's t with n - 2
+    degrees of freedom. Null where r is undefined or n is below 3."""
+    r = numeric_correlations(rc, columns, churned(F.col("churn")))
+    rest = 1 - F.col("r") * F.col("r")
+    t = F.when(rest <= 0, float("inf")).otherwise(F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(rest, F.lit(0.0))))
+    known = F.col("r").isNotNull() & ~F.isnan("r")
+    return r.select("feature", "n", F.when(known, student_two_sided(t, F.col("n") - 2)).alias("p_value"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins over the range of the whole column; the last bin is closed."""
     x = F.col(column).cast("double")
