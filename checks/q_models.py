@@ -9,6 +9,8 @@ from holdfast.operators import registry as G
 from holdfast.operators import scoring as S
 from holdfast.operators import value as V
 from holdfast.plans.strata import stratified_folds, stratified_split
+from holdfast.sources.buckets import BucketTable
+from holdfast.sources.tables import TableStore
 
 BY = ["model_name", "model_version"]
 _BY = "model_name, model_version"
@@ -166,6 +168,32 @@ def _(t):
     return S.rescore_stale(t.rc, t.cp, t.card, t.now)[1].drop("id")
 
 
+def _upserted(t):
+    """A bucketed table of the predictions, with the stale customers' new scores put in."""
+    table, store = BucketTable(t.spark, f"{t.folder}/predictions", "customer_id", 16), TableStore(t.spark, t.folder)
+    table.replace(t.cp.select(*S.PREDICTION, *S.RETENTION), "load")
+    stale = S.stale_customers(t.rc, t.cp, t.now, K.STALE_DAYS)
+    S.upsert_scores(table, store, S.score(stale, t.card, t.now), t.now, "rescore")
+    return table, store
+
+
+@query("M18_upsert_scores", f"select {_COLS} from {_NEWROWS} n where customer_id in (select customer_id from t_cp where {_STALE}) union all select {_COLS} from t_cp where not ({_STALE})")
+def _(t):
+    return _upserted(t)[0].snapshot()
+
+
+@query("M18_upsert_history", f"select {_HCOLS} from t_cp where {_STALE}")
+def _(t):
+    return _upserted(t)[1].snapshot("churn_predictions_history").drop("id")
+
+
+@query("P23_lookup_bucket", f"select {_COLS} from t_cp where customer_id in ('CUST-000000042', 'CUST-000000007')")
+def _(t):
+    table = BucketTable(t.spark, f"{t.folder}/predictions", "customer_id", 16)
+    table.replace(t.cp.select(*S.PREDICTION, *S.RETENTION), "load")
+    return table.lookup("CUST-000000042", "CUST-000000007")
+
+
 _COUNTS = ", ".join(f"('{s.lower()}_risk', (count(*) filter (where churn_probability>={lo} and churn_probability<{hi}))::varchar)" for s, lo, hi in (("High", 0.7, 2), ("Medium", 0.4, 0.7), ("Low", -1, 0.4)))
 
 

@@ -119,6 +119,14 @@ def rescore_stale(rc: DataFrame, cp: DataFrame, model, now: Column, days: int =
     return publish_scores(score(stale_customers(rc, cp, now, days), model, now), cp, now, "new")
 
 
+def upsert_scores(table, history, scored: DataFrame, now: Column, run_id: str) -> None:
+    """Publish scores into a bucketed table of predictions (`sources/buckets.py`): only the buckets of the scored
+    customers are read and written. The rows that go are appended to the history table of the store `history`."""
+    fresh = one_per_customer(backfill(scored, now).select(*PREDICTION, *RETENTION))
+    gone = table.upsert(fresh, run_id)
+    history.write("churn_predictions_history", _archive(gone, now), run_id, "append")
+
+
 def scoring_summary(scored: DataFrame, mode: str = "full", high: float | None = None) -> DataFrame:
     """(metric, value) rows of a scoring run."""
     hi, mid = R.thresholds(high)
