@@ -4,6 +4,7 @@ from checks.registry import query
 from checks.sqltext import rnd
 from holdfast.operators import features as P
 from holdfast.operators import history as H
+from holdfast.plans.asof import asof_join
 
 _PAIR = "t_cp join (select customer_id, prev_probability, prev_segment from t_latest) l using (customer_id)"
 
@@ -150,3 +151,21 @@ _CUST = "(select customer_id, churn, contract, monthly_charges, risk_segment, pr
 def _(t):
     customers = t.rc.select("customer_id", "churn", "contract", "monthly_charges").join(t.cp.select("customer_id", "risk_segment"), "customer_id", "left")
     return H.kpi_deltas(P.filter_customers(customers, contract="Month-to-month"), t.h)
+
+
+_ASOF = "select {cols} from {left} l left join t_h h on h.customer_id = l.customer_id and h.archived_at {op} l.{time} qualify row_number() over (partition by {row} order by h.archived_at desc nulls last, h.churn_probability desc) = 1"
+
+
+@query("J06_asof_score", _ASOF.format(cols="l.customer_id, l.predicted_at, h.archived_at as before_at, h.churn_probability as before_score", left="t_cp", op="<=", time="predicted_at", row="l.customer_id"))
+def _(t):
+    """For each current score the last archived one up to its own time."""
+    rows = asof_join(t.cp.select("customer_id", "predicted_at"), t.h, ["customer_id"], "predicted_at", "archived_at", ties=["churn_probability"], same_instant=True)
+    return rows.select("customer_id", "predicted_at", F.col("asof.archived_at").alias("before_at"), F.col("asof.churn_probability").alias("before_score"))
+
+
+@query("J06_asof_history", "select customer_id, count(*) as scores, count(before) as with_earlier, " + "round(sum(before), 6) as earlier_sum from (select l.customer_id, l.archived_at, (select arg_max(h.churn_probability, (h.archived_at, h.churn_probability)) from t_h h where h.customer_id = l.customer_id and h.archived_at < l.archived_at) as before from t_h l) x group by 1")
+def _(t):
+    """For each archived score the one before it, equal instants left out; summed per customer."""
+    rows = asof_join(t.h.select("customer_id", "archived_at"), t.h, ["customer_id"], "archived_at", "archived_at", ties=["churn_probability"])
+    before = F.col("asof.churn_probability")
+    return rows.groupBy("customer_id").agg(F.count("*").alias("scores"), F.count(before).alias("with_earlier"), F.round(F.sum(before), 6).alias("earlier_sum"))
