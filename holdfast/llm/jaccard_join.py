@@ -285,10 +285,11 @@ def _hashed(s: Settings):
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """(id, hashes) of the wanted sets (id, set_key, rep), from the whole texts of the rows that carry the id `rep`."""
     wanted = stored(wanted)
-    carriers = wanted.select(F.col("rep").alias("carrier")).distinct()
-    texts = _source(docs, id_col, text_col).join(small(carriers, 16), F.col("id").eqNullSafe(F.col("carrier")), "left_semi")
-    found = texts.select(_hashed(s)("text").alias("hashes")).withColumn("set_key", F.unhex(F.md5("hashes")))
-    return found.join(small(wanted.select("id", "set_key"), 48), "set_key").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    # rows without an id count as id -1 here: a few more texts may be hashed than are wanted, none fewer
+    carriers = wanted.select(F.coalesce("rep", F.lit(-1)).alias("carrier")).distinct()
+    texts = _source(docs, id_col, text_col).join(small(carriers, 16), F.coalesce("id", F.lit(-1)) == F.col("carrier"), "left_semi")
+    found = texts.select(_hashed(s)("text").alias("hashes")).groupBy(F.unhex(F.md5("hashes")).alias("set_key")).agg(F.first("hashes").alias("hashes"))
+    return found.join(wanted.select("id", "set_key"), "set_key").select("id", "hashes")
 
 
 def _link_counts(groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -345,16 +346,17 @@ def deduplicate(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     ids = stored(marked.groupBy("id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("any")).filter("any").select(F.col("id").alias("gone"), "all"))
     own = F.col(id_col).cast("long")
 
-    def among(kept: DataFrame, how: str) -> DataFrame:
-        return docs.join(small(kept, 24), own.eqNullSafe(F.col("gone")), how)
-
-    whole = among(ids, "left_anti")
-    mixed_ids = stored(ids.filter("not all"))
-    if mixed_ids.isEmpty():
+    listed, nulls_too = ids.filter("gone is not null"), not ids.filter("gone is null").isEmpty()
+    whole = docs.join(small(listed, 16), own == F.col("gone"), "left_anti")
+    mixed_ids = stored(listed.filter("not all"))
+    if mixed_ids.isEmpty() and not nulls_too:
         return whole
-    # an id of which some texts go and some stay: its rows are told apart by their sets
-    pairs = marked.filter("goes").join(small(mixed_ids, 24), F.col("id").eqNullSafe(F.col("gone")), "left_semi").select("id", "set_key").distinct()
-    packed = among(mixed_ids, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"), text_of(text_col).alias("text"))
+    # rows without an id, and ids of which some texts go and some stay, are told apart by their sets
+    touched = docs.join(small(mixed_ids, 16), own == F.col("gone"), "left_semi")
+    if nulls_too:
+        whole, touched = whole.filter(own.isNotNull()), touched.unionByName(docs.filter(own.isNull()))
+    some = ids.filter("gone is null or not all").select("gone")
+    pairs = stored(marked.filter("goes").join(small(some, 16), F.col("id").eqNullSafe(F.col("gone")), "left_semi").select("id", "set_key").distinct())
+    packed = touched.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"), text_of(text_col).alias("text"))
     keyed = small_batches(packed).withColumn("own_key", F.unhex(F.md5(_hashed(s)("text"))))
-    pairs = stored(pairs)
     return whole.unionByName(keyed.join(small(pairs, 40), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("set_key")), "left_anti").select("row.*"))
