@@ -237,7 +237,7 @@ def _placed(usable: DataFrame, n: int, anchors: int, dim: int) -> DataFrame:
     """(id, label, vector, anchor, part): every row in a shard (anchor false), anchors once more in a chunk (anchor true).
 
     Rows go to the nearest of a few pivot anchors; what a pivot draws is split by hash into parts of bounded size, so a
-    pivot that draws most of the rows makes many parts.
+    pivot that draws most of the rows makes many parts. Anchors of pivots that draw few share a chunk.
     """
     pivots = [r.v for r in usable.filter("anchor").select("v").orderBy(F.xxhash64("id", "v")).limit(PIVOTS if anchors > CHUNK or n > SHARD else 1).collect()]
     at = np.zeros((len(pivots), dim))
@@ -254,11 +254,16 @@ def _placed(usable: DataFrame, n: int, anchors: int, dim: int) -> DataFrame:
 
     celled = stored(usable.dropDuplicates(["id", "label", "v"]).select("id", "label", "anchor", "v").mapInPandas(place, "id bigint, label bigint, anchor boolean, vector binary, cell int"))
     roles = celled.withColumn("anchor", F.explode(F.when(F.col("anchor"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    parts, after = {}, {False: 0, True: 0}
-    for r in sorted(roles.groupBy("anchor", "cell").count().collect()):  # two rows for a pivot
-        many = -(-r["count"] // (CHUNK if r.anchor else SHARD))
-        parts[r.anchor, r.cell] = after[r.anchor], many
-        after[r.anchor] += many
+    counts = sorted((r.anchor, r.cell, r["count"]) for r in roles.groupBy("anchor", "cell").count().collect())  # two rows for a pivot
+    parts, after, room = {}, {False: 0, True: 0}, 0
+    for anchor, cell, n_ in counts:
+        if anchor and n_ <= room:  # small cells share a chunk: every chunk meets every shard
+            parts[anchor, cell], room = (after[anchor] - 1, 1), room - n_
+            continue
+        many = -(-n_ // (CHUNK if anchor else SHARD))
+        parts[anchor, cell] = after[anchor], many
+        after[anchor] += many
+        room = CHUNK - n_ if many == 1 else 0
     table = F.create_map(*[F.lit(x) for (anchor, cell), v in parts.items() for x in (f"{anchor} {cell}".lower(), list(v))])
     own = table[F.concat_ws(" ", F.col("anchor").cast("string"), F.col("cell").cast("string"))]
     return roles.select("id", "label", "vector", "anchor", (own[0] + F.pmod(F.xxhash64("id", "label", "vector"), own[1])).cast("int").alias("part"))
