@@ -104,6 +104,19 @@ def _(t):
     return store.snapshot("raw_customers").select(*K.REQUIRED_COLUMNS)
 
 
+@query("R01_stream_then_compact", "select customer_id, tenure, contract, monthly_charges, 6 as parts, 1 as files from t_rc")
+def _(t):
+    """One micro-batch per landed file; then the parts are gathered and what they were made of is removed."""
+    store, landing = _store(t), f"{t.folder}/landing"
+    t.rc.repartition(6, "customer_id").write.parquet(landing)
+    rows = R.landing_stream(t.spark, landing, t.rc.schema, files_per_batch=1)
+    R.stream_ingest(rows, store, f"{t.folder}/checkpoint", ["customer_id"]).awaitTermination()
+    parts = store.compact("raw_customers")
+    store.expire("raw_customers")
+    found = store.snapshot("raw_customers")
+    return found.select("customer_id", "tenure", "contract", "monthly_charges", F.lit(parts).alias("parts"), F.lit(len(found.inputFiles())).alias("files"))
+
+
 @query("R02_stream_score", f"select {_COLS} from {_NEWROWS} n")
 def _(t):
     store, landing = _store(t), f"{t.folder}/landing"
