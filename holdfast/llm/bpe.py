@@ -19,6 +19,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Words and fragments that a process remembers; beyond that its memory starts afresh. Longer ones are not kept.
 REMEMBERED, LONGEST = 200_000, 48
+#: Bytes of text that are cut and encoded at a time, one text at least: their words are held as objects of their own.
+PART_BYTES = 1 << 19
 #: Fragments above this length are merged with a heap, shorter ones by repeated search.
 SHORT = 48
 NONE = 1 << 60
@@ -220,6 +223,18 @@ def _digests(entries: list[tuple]) -> tuple:
     return joined.count(b",") + bool(joined), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PART_BYTES of text, or of one longer text."""
+    at, total = 0, 0
+    for end, size in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+        if end > at and total + size > PART_BYTES:
+            yield batch.slice(at, end - at)
+            at, total = end, 0
+        total += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, columns: dict[str, pa.DataType], row: Callable[[list[tuple]], tuple]) -> DataFrame:
     """`row` of each text's entries, beside its id."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file of a few MB
@@ -227,10 +242,10 @@ def mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, columns
     ddl = {pa.list_(pa.int32()): "array<int>", pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker may have served another stage before
         own = codec(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for part in parts(batch):
                 done = list(zip(*map(row, own.encode_batch(part["text"].to_pylist())), strict=True))
                 yield pa.RecordBatch.from_arrays([part["id"], *[pa.array(c, k) for k, c in zip(columns.values(), done, strict=True)]], ["id", *columns])
 

@@ -54,3 +54,16 @@ def test_tables(docs, theirs):
     digests = bpe.encode_digests(docs([(None, None), (1, "x"), (1, "x")]), vocabulary)
     assert [r["n_tokens"] for r in digests.orderBy("n_tokens").collect()] == [0, 1, 1]
     assert bpe.encode(docs([]), vocabulary).count() == 0
+
+
+def test_parts_cover_a_batch():
+    import pyarrow as pa
+
+    from holdfast.llm import bpe
+
+    sizes = [0, 10, bpe.PART_BYTES, 1, bpe.PART_BYTES * 2, 0, 0, bpe.PART_BYTES - 1, 1, 1]
+    batch = pa.record_batch({"text": ["x" * n for n in sizes], "id": range(len(sizes))})
+    got = list(bpe.parts(batch))
+    assert [i for p in got for i in p["id"].to_pylist()] == list(range(len(sizes)))
+    assert all(p.num_rows == 1 or sum(map(len, p["text"].to_pylist())) <= bpe.PART_BYTES for p in got)
+    assert not list(bpe.parts(batch.slice(0, 0)))
