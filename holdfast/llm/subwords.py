@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -165,23 +166,21 @@ def bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (counts / (counts.sum() + s.neutral)).astype(np.float32)
 
 
-def bags(texts: list[str], labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
-    """Buckets and shares of all texts that have any, end to end, where each begins and ends, and their labels.
+def bags(texts: list[str], labels: list[int], s: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int, int]], list[int]]:
+    """Buckets and shares of all texts that have any, end to end in blocks; block, begin and end of each text; its label.
 
-    A few large arrays, so that the driver's memory is given back after the training.
+    Blocks are few large arrays, so that the driver's memory is given back after the training, and are never copied together.
     """
-    chunks, ends, ys = [], [0], []
+    blocks, spots, ys = [], [], []
     for start in range(0, len(texts), 250):
         own = [(*bag(t, s), int(y)) for t, y in zip(texts[start : start + 250], labels[start : start + 250], strict=True)]
         own = [x for x in own if len(x[0])]
         if own:
-            chunks.append((np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])))
-        for ids, _, y in own:
-            ends.append(ends[-1] + len(ids))
-            ys.append(y)
-    if not chunks:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), ends, ys
-    return np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks]), ends, ys
+            at = np.cumsum([0, *[len(x[0]) for x in own]]).tolist()
+            spots += [(len(blocks), a, b) for a, b in pairwise(at)]
+            ys += [x[2] for x in own]
+            blocks.append((np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])))
+    return blocks, spots, ys
 
 
 def train(texts: list[str], labels: list[int], s: Settings, prior: float | None = None) -> Model:
@@ -189,15 +188,15 @@ def train(texts: list[str], labels: list[int], s: Settings, prior: float | None
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (1 << s.bits, s.dim)).astype(np.float32)
     output, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
-    flat_ids, flat_w, ends, ys = bags(texts, labels, s)
+    blocks, spots, ys = bags(texts, labels, s)
     rows, ones = len(ys), sum(ys)
     epochs, done = -(-s.steps // max(1, rows)), 0
     steps = max(1, rows * epochs)
     share = {1: 0.5 * rows / max(ones, 1), 0: 0.5 * rows / max(rows - ones, 1)}
     for _ in range(epochs):
         for k in rng.permutation(rows):
-            part, y = slice(ends[k], ends[k + 1]), ys[k]
-            ids, w = flat_ids[part], flat_w[part]
+            (block, start, end), y = spots[k], ys[k]
+            ids, w = blocks[block][0][start:end], blocks[block][1][start:end]
             rate = s.rate * (1 - done / steps) * share[y]
             mean = w @ vectors[ids]
             logits = mean @ output + bias
@@ -245,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col:
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["id"], r["y"]) for r in picked], own.select("id", "y").schema)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(wanted), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "text", "y").collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows], s, counts.get(1, 0) / sum(counts.values()))
+    texts, ys = [r["text"] for r in rows], [r["y"] for r in rows]
+    del rows
+    return train(texts, ys, s, counts.get(1, 0) / sum(counts.values()))
 
 
 def scorer(docs: DataFrame, model: Model):
