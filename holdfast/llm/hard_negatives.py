@@ -263,7 +263,7 @@ def _placed(usable: DataFrame, n: int, anchors: int, dim: int) -> DataFrame:
         many = -(-n_ // (CHUNK if anchor else SHARD))
         parts[anchor, cell] = after[anchor], many
         after[anchor] += many
-        room = CHUNK - n_ if many == 1 else 0
+        room = CHUNK - n_ if anchor and many == 1 else 0  # the last shard has no room for anchors
     table = F.create_map(*[F.lit(x) for (anchor, cell), v in parts.items() for x in (f"{anchor} {cell}".lower(), list(v))])
     own = table[F.concat_ws(" ", F.col("anchor").cast("string"), F.col("cell").cast("string"))]
     return roles.select("id", "label", "vector", "anchor", (own[0] + F.pmod(F.xxhash64("id", "label", "vector"), own[1])).cast("int").alias("part"))

@@ -54,6 +54,18 @@ def test_large_numbers(spark):
     assert run(spark, rows) == brute(rows, H.Settings(), lambda i: i % 10 == 0) != []
 
 
+def test_chunks_are_numbered_from_0(spark, monkeypatch):
+    """A small last shard leaves its room to no chunk, however few the anchors are."""
+    monkeypatch.setattr(H, "SHARD", 8)
+    rng = random.Random(4)
+    for n in (6, 30, 300):
+        rows = [(i, [rng.gauss(0.4, 1) for _ in range(3)], i % 2) for i in range(n)]
+        usable = spark.createDataFrame(rows, "id bigint, v array<double>, label bigint").selectExpr("id", "label", "transform(v, x -> floor(256 * x)) v", "id % 10 = 0 anchor")
+        parts = H._placed(usable, n, n // 10 + (n % 10 > 0), 3).groupBy("anchor").agg(F.min("part"), F.max("part"), F.count_distinct("part")).collect()
+        assert len(parts) == 2 and all(least == 0 and most == many - 1 for _, least, most, many in parts)
+        assert run(spark, rows) == brute(rows, H.Settings(), lambda i: i % 10 == 0)
+
+
 def clustered(rng, n):
     centres = rng.normal(0, 300, (20, 64))
     return (centres[rng.integers(0, 20, n)] + rng.normal(0, 3, (n, 64))).round().astype(np.int64)
