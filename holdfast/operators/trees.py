@@ -9,9 +9,13 @@ a Beta integral, so the Shapley value of f is
 
 The integrand is a polynomial of a degree below the number of features; Gauss-Legendre nodes, half as
 many as features, integrate it exactly. Features off the path have o = z = 1 and drop out by themselves.
+
+Which tests a row passes follows from where its values lie between the ensemble's thresholds. MLlib has fewer thresholds
+of a feature than bins, so rows share few such cells; each cell is attributed once in a task, other rows look it up.
 """
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +28,9 @@ from holdfast import constants as K
 from holdfast.operators.modeling import FittedModel
 from holdfast.sources.tables import work_dir
 
-#: Numbers per block of the computation, 32 MB.
+#: Numbers per block of the computation, 32 MB; cells that a task remembers.
 _BLOCK = 4_000_000
+_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -38,22 +43,57 @@ class Leaves:
     value: np.ndarray
     base: float
 
+    def cuts(self) -> list[np.ndarray]:
+        """The thresholds of each feature, ascending."""
+        both = np.concatenate([self.low, self.high])
+        return [np.unique(c[np.isfinite(c)]) for c in both.T]
+
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """Shapley value of each feature for each row of `x`; values are right where NaN has been filled."""
-        out = np.zeros(x.shape)
-        nodes, weights = np.polynomial.legendre.leggauss((x.shape[1] + 1) // 2)
-        step = max(1, _BLOCK // (max(len(x), 1) * x.shape[1]))
-        for start in range(0, len(self.value), step):
-            part = slice(start, start + step)
-            passed = (x[:, None, :] > self.low[None, part]) & (x[:, None, :] <= self.high[None, part])
-            share, total = self.share[None, part], np.zeros(passed.shape)
+        return self.of_cells(cells_of(x, self.cuts()))
+
+    def of_cells(self, cells: np.ndarray) -> np.ndarray:
+        """The same by cells (see `cells_of`): which tests a row passes follows from its cells alone."""
+        cuts, d = self.cuts(), cells.shape[1]
+        out = np.zeros(cells.shape)
+        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        # of each feature one value per cell; that of the last cell passes no test
+        inside = [np.concatenate([c, [c[-1] + 1 if len(c) else 0.0, np.nan]]) for c in cuts]
+        leaves = max(1, _BLOCK // (2 * d * max(map(len, inside))))
+        for start in range(0, len(self.value), leaves):
+            part = slice(start, start + leaves)
+            passed = [(v[:, None] > self.low[None, part, f]) & (v[:, None] <= self.high[None, part, f]) for f, v in enumerate(inside)]
+            rows = max(1, _BLOCK // len(self.value[part]))
             for t, w in zip((nodes + 1) / 2, weights / 2):
-                each = t * passed + (1 - t) * share
-                total += w * each.prod(axis=2, keepdims=True) / each
-            out += (total * (passed - share) * self.value[None, part, None]).sum(axis=1)
+                each = [t * o + (1 - t) * self.share[part, f] for f, o in enumerate(passed)]
+                owed = [w * self.value[part] * (o - self.share[part, f]) / e for f, (o, e) in enumerate(zip(passed, each))]
+                for first in range(0, len(cells), rows):
+                    own = cells[first : first + rows]
+                    whole = each[0][own[:, 0]]
+                    for f in range(1, d):
+                        whole *= each[f][own[:, f]]
+                    for f in range(d):
+                        out[first : first + rows, f] += np.einsum("ij,ij->i", whole, owed[f][own[:, f]])
         return out
 
 
+def cells_of(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """For each value the number of its feature's cuts below it; one more than there are cuts for what passes no test, NaN or minus infinity."""
+    return np.stack([np.where(v > -np.inf, np.searchsorted(c, v), len(c) + 1) for v, c in zip(x.T, cuts)], axis=1)
+
+
+def attributed(leaves: Leaves, batches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The attributions of each batch; rows of the same cells are computed once in a task, the last `_CELLS` cells are remembered."""
+    cuts, known = leaves.cuts(), {}
+    for x in batches:
+        cells, at = np.unique(cells_of(x, cuts), axis=0, return_inverse=True)
+        names = [c.tobytes() for c in cells]
+        new = [i for i, name in enumerate(names) if name not in known]
+        found = dict(zip((names[i] for i in new), leaves.of_cells(cells[new]))) if new else {}
+        yield np.array([known[name] if name in known else found[name] for name in names]).reshape(cells.shape)[at.ravel()]
+        known = known | found if len(known) + len(found) <= _CELLS else found
+
+
 def leaves_of(model: FittedModel, spark: SparkSession) -> Leaves:
     """Read the trees' node tables (their size is set by the training parameters) and follow every path."""
     c = model.classifier
@@ -97,8 +137,9 @@ def _attribution(features: DataFrame, leaves: Leaves) -> Column:
     shipped = features.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")
-    def attribute(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(shipped.value.attributions(x.to_numpy(dtype=float))))
+    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for found in attributed(shipped.value, (x.to_numpy(dtype=float) for x in batches)):
+            yield pd.Series(list(found))
 
     return attribute(F.struct(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(K.MODEL_FEATURES)]))
 

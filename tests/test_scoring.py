@@ -93,6 +93,32 @@ def test_tree_attribution_brute_force(train):
             assert mine[f] == pytest.approx(phi, abs=1e-9)
 
 
+def test_rows_of_one_cell_are_attributed_once(monkeypatch):
+    """Across batches, with values on and beyond the thresholds, and with no more than some cells remembered."""
+    rng = np.random.default_rng(3)
+    cuts = np.sort(rng.normal(size=(5, 2)))
+    ends = np.column_stack([np.full(5, -np.inf), cuts, np.full(5, np.inf)])
+    low = np.array([[e[i] for e, i in zip(ends, own)] for own in rng.integers(0, 2, (40, 5))])
+    high = np.array([[e[i] for e, i in zip(ends, own)] for own in rng.integers(2, 4, (40, 5))])
+    leaves = trees.Leaves(low, high, rng.uniform(0.1, 1, (40, 5)), rng.normal(size=40), 0.0)
+    x = np.concatenate([rng.normal(size=(500, 5)), np.tile(cuts[:, 0], (3, 1)), np.full((2, 5), np.nan), np.full((1, 5), np.inf)])
+    want = np.zeros(x.shape)
+    nodes, weights = np.polynomial.legendre.leggauss(3)
+    passed = (x[:, None] > low) & (x[:, None] <= high)
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        each = t * passed + (1 - t) * leaves.share
+        want += (w * each.prod(axis=2, keepdims=True) / each * (passed - leaves.share) * leaves.value[:, None]).sum(axis=1)
+    assert np.allclose(leaves.attributions(x), want)
+    asked = []
+    of_cells = trees.Leaves.of_cells
+    monkeypatch.setattr(trees.Leaves, "of_cells", lambda self, cells: asked.append(len(cells)) or of_cells(self, cells))
+    batches = [x[:200], x[200:400], x[400:]]
+    assert np.allclose(np.concatenate(list(trees.attributed(leaves, iter(batches)))), want)
+    assert sum(asked) == len(np.unique(trees.cells_of(x, leaves.cuts()), axis=0)) < 3**5 + 2
+    monkeypatch.setattr(trees, "_CELLS", 10)
+    assert np.allclose(np.concatenate(list(trees.attributed(leaves, iter(batches)))), want)
+
+
 def test_explanation_words(spark):
     df = spark.sql("select array(named_struct('feature','a_b','direction','increases risk')) one, array(named_struct('feature','a','direction','increases risk'), named_struct('feature','b','direction','decreases risk')) two")
     r = df.select(X.factor_sentence(F.col("one")).alias("one"), X.factor_sentence(F.col("two")).alias("two"), X.factor_sentence(F.slice("one", 1, 0)).alias("none")).first()
