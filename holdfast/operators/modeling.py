@@ -109,8 +109,23 @@ def _pipeline(classifier: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(K.MODEL_FEATURES), outputCol="model_vector"), classifier])
 
 
-def _fit(name: str, classifier: Estimator, train: DataFrame, version: str = "v1") -> FittedModel:
-    return FittedModel(name, version, _pipeline(classifier).fit(train))
+#: Training rows of a partition: so many make one worth while, and so many at most (on average).
+PART_ROWS, MOST_PART_ROWS = 2_000, 500_000
+
+
+def spread(train: DataFrame) -> DataFrame:
+    """What a learner reads of `train`, derived once and dealt evenly over the cluster's cores.
+
+    Learners pass over the rows hundreds of times, in as many tasks as there are partitions; a join's result has few.
+    """
+    n = train.count()
+    parts = max(min(train.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)), -(-n // MOST_PART_ROWS), 1)
+    ensure_checkpoint_dir(train.sparkSession)
+    return train.select(*[F.col(f"`{c}`") for c in (*K.MODEL_FEATURES, LABEL, "weight") if c in train.columns]).repartition(parts).checkpoint()
+
+
+def _fit(name: str, classifier: Estimator, train: DataFrame, version: str = "v1", found: DataFrame | None = None) -> FittedModel:
+    return FittedModel(name, version, _pipeline(classifier).fit(spread(train)), found)
 
 
 _COLS = {"featuresCol": "model_vector", "labelCol": LABEL}
@@ -170,7 +185,7 @@ def tune(name: str, kind: str, candidates: Sequence[dict], train: DataFrame, ver
     rows = search.search(train, kind, candidates, **options)
     found = train.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one row per candidate
     best = _LEARNERS[kind](**_COLS, seed=SEED, **search.best_of(found, candidates))
-    return FittedModel(name, version, _pipeline(best).fit(train), found)
+    return _fit(name, best, train, version, found)
 
 
 def tune_forest(train: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, **options) -> FittedModel:

@@ -119,6 +119,17 @@ def test_rows_of_one_cell_are_attributed_once(monkeypatch):
     assert np.allclose(np.concatenate(list(trees.attributed(leaves, iter(batches)))), want)
 
 
+def test_training_rows_are_spread(spark, train, monkeypatch):
+    """A learner reads its columns only, all rows, in as many parts as there are cores if there are rows for them."""
+    one = train.coalesce(1)
+    assert M.spread(one.limit(5)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "PART_ROWS", 10)
+    rows = M.spread(M.with_balanced_weight(one))
+    assert rows.rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, -(-one.count() // 10))
+    assert rows.columns == [*K.MODEL_FEATURES, M.LABEL, "weight"] and rows.count() == one.count()
+    assert sorted(map(tuple, rows.drop("weight").collect())) == sorted(map(tuple, one.select(*rows.columns[:-1]).collect()))
+
+
 def test_explanation_words(spark):
     df = spark.sql("select array(named_struct('feature','a_b','direction','increases risk')) one, array(named_struct('feature','a','direction','increases risk'), named_struct('feature','b','direction','decreases risk')) two")
     r = df.select(X.factor_sentence(F.col("one")).alias("one"), X.factor_sentence(F.col("two")).alias("two"), X.factor_sentence(F.slice("one", 1, 0)).alias("none")).first()
