@@ -186,22 +186,28 @@ def prefix_scores(kind: str, x: np.ndarray, y: np.ndarray, learned: np.ndarray,
     """The probability of label 1 for every row after each of `lengths` trees or rounds, learned from the marked rows (0.5 if there are none)."""
     if not learned.any():
         return {n: np.full(len(y), 0.5) for n in lengths}
-    codes, base = binned(x, learned), learned.astype(float)
+    # rows of the same bins and label share every sum and every value: a tree is grown on these cells and their weights
+    cells, cell = np.unique(np.column_stack([binned(x, learned), y]), axis=0, return_inverse=True)
+    codes, label, cell, base = cells[:, :-1], cells[:, -1].astype(float), cell.ravel(), learned.astype(float)
     least, least_gain = params.get("minInstancesPerNode", 1), params.get("minInfoGain", 0.0)
     forest = kind == "forest"
     tried = _share(params.get("featureSubsetStrategy", "auto"), x.shape[1], forest)
-    out, total = {}, np.zeros(len(y))
-    sign = 2.0 * y - 1
+    out, total = {}, np.zeros(len(cells))
+    sign = 2.0 * label - 1
+
+    def weighed(rows: np.ndarray) -> np.ndarray:
+        return np.bincount(cell, rows, len(cells))
+
     for i in range(max(lengths)):
         rng = np.random.default_rng([seed, i])
         if forest:
             # the gain of Gini impurity is twice that of the variance of 0 and 1
-            total += grow(codes, y.astype(float), base * rng.poisson(1.0, len(y)), params["maxDepth"], least, least_gain / 2, tried, rng)
+            total += grow(codes, label, weighed(base * rng.poisson(1.0, len(y))), params["maxDepth"], least, least_gain / 2, tried, rng)
         else:
             rate = params.get("subsamplingRate", 1.0)
-            weight = base if rate >= 1 else base * (rng.random(len(y)) < rate)
+            weight = weighed(base if rate >= 1 else base * (rng.random(len(y)) < rate))
             target = sign if i == 0 else 4 * sign / (1 + np.exp(np.clip(2 * sign * total, -500, 500)))
             total += (1.0 if i == 0 else params.get("stepSize", 0.1)) * grow(codes, target, weight, params["maxDepth"], least, least_gain, tried, rng)
         if i + 1 in lengths:
-            out[i + 1] = total / (i + 1) if forest else 1 / (1 + np.exp(np.clip(-2 * total, -500, 500)))
+            out[i + 1] = (total / (i + 1) if forest else 1 / (1 + np.exp(np.clip(-2 * total, -500, 500))))[cell]
     return out

@@ -56,6 +56,27 @@ def test_prefixes_equal_separate_fits(kind, params):
     assert S.auc(y[~learned], together[20][~learned]) > 0.7
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_trees_are_grown_on_cells(monkeypatch, kind):
+    """Rows of the same bins and label are one row of their weight, with the scores of separate rows."""
+    x, y = data(600)
+    x = x.clip(2, 6)
+    learned, sizes, grow = np.arange(600) % 5 > 0, [], S.grow
+    monkeypatch.setattr(S, "grow", lambda codes, *rest: sizes.append(len(codes)) or grow(codes, *rest))
+    params = {"maxDepth": 4, "minInstancesPerNode": 2, "subsamplingRate": 0.8}
+    got = S.prefix_scores(kind, x[:, 2:], y, learned, [10], params)[10]
+    assert set(sizes) == {len(np.unique(np.column_stack([x[:, 2:], y]), axis=0))}
+    codes, total = S.binned(x[:, 2:], learned), np.zeros(600)
+    for i in range(10):
+        rng = np.random.default_rng([42, i])
+        if kind == "forest":
+            total += grow(codes, y.astype(float), learned * rng.poisson(1.0, 600), 4, 2, 0, 2, rng) / 10
+        else:
+            target = 2.0 * y - 1 if i == 0 else 4 * (2 * y - 1) / (1 + np.exp(2 * (2 * y - 1) * total))
+            total += (0.1 if i else 1) * grow(codes, target, learned * (rng.random(600) < 0.8), 4, 2, 0, 2, rng)
+    assert np.allclose(got, total if kind == "forest" else 1 / (1 + np.exp(-2 * total)))
+
+
 def test_boosting_equals_mllib(spark):
     """With every value a bin of its own and all features tried there is nothing random left."""
     x, y = data()
