@@ -130,6 +130,14 @@ def test_training_rows_are_spread(spark, train, monkeypatch):
     assert sorted(map(tuple, rows.drop("weight").collect())) == sorted(map(tuple, one.select(*rows.columns[:-1]).collect()))
 
 
+def test_forests_remember_nodes_and_stay_the_same(train):
+    mine = M.fit_forest(train, trees=3).classifier
+    walked = M._pipeline(M.RandomForestClassifier(**M._COLS, numTrees=3, maxDepth=30, seed=M.SEED)).fit(M.spread(train)).stages[-1]
+    tuned = M.tune_forest(train, {"numTrees": [2], "maxDepth": [3], "minInstancesPerNode": [1]}, folds=2).classifier
+    assert all(c.getOrDefault("cacheNodeIds") for c in (mine, tuned)) and not walked.getOrDefault("cacheNodeIds")
+    assert mine.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
 def test_explanation_words(spark):
     df = spark.sql("select array(named_struct('feature','a_b','direction','increases risk')) one, array(named_struct('feature','a','direction','increases risk'), named_struct('feature','b','direction','decreases risk')) two")
     r = df.select(X.factor_sentence(F.col("one")).alias("one"), X.factor_sentence(F.col("two")).alias("two"), X.factor_sentence(F.slice("one", 1, 0)).alias("none")).first()
