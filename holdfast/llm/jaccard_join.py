@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts
 from .common import small, small_batches, stored, text_of
 from .components import components
 from .subwords import MULTIPLIER, all_word_hashes, mixed
@@ -287,8 +288,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col
     wanted = stored(wanted)
     # rows without an id count as id -1 here: a few more texts may be hashed than are wanted, none fewer
     carriers = wanted.select(F.coalesce("rep", F.lit(-1)).alias("carrier")).distinct()
-    texts = _source(docs, id_col, text_col).join(small(carriers, 16), F.coalesce("id", F.lit(-1)) == F.col("carrier"), "left_semi")
-    found = texts.select(_hashed(s)("text").alias("hashes")).groupBy(F.unhex(F.md5("hashes")).alias("set_key")).agg(F.first("hashes").alias("hashes"))
+    texts = _source(docs, id_col, text_col).join(small(carriers, 16), F.coalesce("id", F.lit(-1)) == F.col("carrier"), "left_semi").select("text")
+    words = s.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                hashes = [shingles(t.as_py(), words).tobytes() for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(h).digest() for h in hashes], pa.binary()), pa.array(hashes, pa.binary())], ["set_key", "hashes"])
+
+    # no column function: the join's filter on the key would go below it and hash every text a second time, in a second worker
+    found = texts.mapInArrow(run, "set_key binary, hashes binary").groupBy("set_key").agg(F.first("hashes").alias("hashes"))
     return found.join(wanted.select("id", "set_key"), "set_key").select("id", "hashes")
 
 

@@ -14,6 +14,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col:
     if not picked:
         return Model(s, np.zeros((1 << s.bits, s.dim), np.float32), np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["id"], r["y"]) for r in picked], own.select("id", "y").schema)
+    # an Arrow table: rows would go through Python workers of another kind, which stay beside those of the columns
+    ids = pa.table({"id": [r["id"] for r in picked], "y": [r["y"] for r in picked]})
+    wanted = docs.sparkSession.createDataFrame(ids, own.select("id", "y").schema)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(wanted), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "text", "y").collect()
     texts, ys = [r["text"] for r in rows], [r["y"] for r in rows]
     del rows

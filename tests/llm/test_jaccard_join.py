@@ -1,6 +1,9 @@
 import random
+import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from holdfast.llm import jaccard_join
 from holdfast.llm.components import components
 from holdfast.llm.jaccard_join import Settings, classes, deduplicate
@@ -155,6 +158,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_texts_are_hashed_once(spark, capsys):
+    """Each stage that hashes texts has one Python step."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f h"), (3, "a b c d e f g")], "doc_id bigint, text string")
+    s = Settings()
+    rows = jaccard_join.features(docs, s, "doc_id", "text")
+    wanted = rows.groupBy("set_key").agg({"id": "min"}).withColumnRenamed("min(id)", "rep").withColumn("id", F.col("rep"))
+    sets = jaccard_join._sets(docs, wanted, s, "doc_id", "text")
+    expected = {i: jaccard_join.shingles(t, s.words).tobytes() for i, t in [(1, "a b c d e f g"), (2, "a b c d e f h")]}
+    assert {r["id"]: bytes(r["hashes"]) for r in sets.collect()} == expected
+    capsys.readouterr()
+    jaccard_join._sets(docs, wanted, s, "doc_id", "text").explain()
+    assert len(re.findall("ArrowEvalPython|MapInArrow", capsys.readouterr().out)) == 1
+
+
 def test_links_among_equals_pairwise():
     import numpy as np
 

@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from holdfast.llm import quality, subwords, toxicity
@@ -121,6 +122,15 @@ def test_repeated_ids_send_one_text_each(labelled, spark):
     assert (one.vectors == two.vectors).all()
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "decimal(12,0)"])
+def test_picked_ids_need_no_python_workers(labelled, monkeypatch, kind):
+    """The picked ids go to Spark as they are; of any type."""
+    docs, labels = (t.withColumn("doc_id", F.col("doc_id").cast(kind)) for t in labelled)
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows sent through Python workers"))
+    model = subwords.fit(docs, labels, "toxic", SMALL)
+    assert np.any(model.output)
+
+
 def test_remove_keeps_whole_rows(labelled):
     docs, labels = labelled
     left = toxicity.remove(docs, labels, SMALL)
