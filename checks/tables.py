@@ -101,7 +101,8 @@ class Tables:
 
     @property
     def split_features(self) -> DataFrame:
-        return self.features.join(self.split.select("customer_id", "split"), "customer_id")
+        # both sides grow with the customers; their size is estimated from compressed files and would pass for a broadcast
+        return self.features.join(self.split.select("customer_id", "split").hint("shuffle_merge"), "customer_id")
 
     @cached_property
     def models(self) -> list[scoring.LinearScorer]:

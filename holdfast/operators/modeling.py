@@ -1,20 +1,23 @@
 """Preprocessing, training, tuning and cross-validation with MLlib."""
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast import constants as K
 from holdfast.operators import search
 from holdfast.operators.evaluation import evaluate, summarize_folds
+from holdfast.plans.kept import kept
 from holdfast.plans.strata import stratified_folds
-from holdfast.sources.tables import ensure_checkpoint_dir
+from holdfast.sources.tables import ensure_checkpoint_dir, work_dir
 
 LABEL = "churn_label"
 SEED = 42
@@ -124,13 +127,13 @@ def spread(train: DataFrame) -> DataFrame:
     return train.select(*[F.col(f"`{c}`") for c in (*K.MODEL_FEATURES, LABEL, "weight") if c in train.columns]).repartition(parts).checkpoint()
 
 
-def _fit(name: str, classifier: Estimator, train: DataFrame, version: str = "v1", found: DataFrame | None = None) -> FittedModel:
-    return FittedModel(name, version, _pipeline(classifier).fit(spread(train)), found)
+def _fit(name: str, classifier: Estimator, train: DataFrame, version: str = "v1") -> FittedModel:
+    return FittedModel(name, version, _pipeline(classifier).fit(spread(train)))
 
 
 _COLS = {"featuresCol": "model_vector", "labelCol": LABEL}
 # a level of a forest looks up where its rows stand instead of walking every row down every tree again; the trees are the same
-_OWN = {"forest": {"cacheNodeIds": True}, "boosting": {}}
+_OWN = {"cacheNodeIds": True}
 
 
 def with_balanced_weight(train: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def fit_tree(train: DataFrame, depth: int = 5) -> FittedModel:
 
 def fit_forest(train: DataFrame, trees: int = 100, depth: int = 30) -> FittedModel:
     """Random forest, grown as deep as MLlib allows (30 levels) unless told otherwise."""
-    return _fit("random_forest", RandomForestClassifier(**_COLS, **_OWN["forest"], numTrees=trees, maxDepth=depth, seed=SEED), train)
+    return _fit("random_forest", RandomForestClassifier(**_COLS, **_OWN, numTrees=trees, maxDepth=depth, seed=SEED), train)
 
 
 def fit_gbt(train: DataFrame, rounds: int = 100, depth: int = 5, step: float = 0.1, balanced: bool = False) -> FittedModel:
@@ -176,18 +179,65 @@ def fit_ensemble(train: DataFrame, boosting=None, balanced=None, forest=None) ->
 # --- tuning --------------------------------------------------------------------
 
 
-_LEARNERS = {"forest": RandomForestClassifier, "boosting": GBTClassifier}
+_LEARNERS = {"forest": (RandomForestClassifier, RandomForestClassificationModel, "DecisionTreeClassificationModel"), "boosting": (GBTClassifier, GBTClassificationModel, "DecisionTreeRegressionModel")}
 
 
-def tune(name: str, kind: str, candidates: Sequence[dict], train: DataFrame, version: str = "v2", **options) -> FittedModel:
-    """Best candidate by mean AUC over stratified folds (see `search.search` and its options), fitted to all of `train`.
+def tune(name: str, kind: str, candidates: Sequence[dict], train: DataFrame, version: str = "v2", folds: int = 5, seed: int = SEED) -> FittedModel:
+    """Best candidate by mean AUC over stratified folds (see `search.search`), fitted to all of `train`.
 
-    `kind` is "forest" or "boosting"; the model's `found` holds the result of every candidate.
+    `kind` is "forest" or "boosting"; the model's `found` holds the result of every candidate. The rows are counted once
+    for the search and the fit: MLlib's learners start a job for every level of a tree, thousands for hundreds of rounds.
     """
-    rows = search.search(train, kind, candidates, **options)
-    found = train.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one row per candidate
-    best = _LEARNERS[kind](**_COLS, **_OWN[kind], seed=SEED, **search.best_of(found, candidates))
-    return _fit(name, best, train, version, found)
+    spark, cells = train.sparkSession, search.counted(train, folds, seed=seed)
+    if cells.skipped or not cells.whole.learned.any():
+        raise ValueError(f"the model cannot be fitted: {cells.skipped} rows have a null label or feature, {cells.whole.learned.sum()} have none")
+    rows = search.searched(spark, cells, kind, candidates, seed)
+    found = spark.createDataFrame(rows.collect(), rows.schema)  # one row per candidate
+    best = search.best_of(found, candidates)
+    classifier = assembled(spark, kind, best, search.grown(spark, cells.whole, kind, best, seed), seed)
+    return FittedModel(name, version, PipelineModel([VectorAssembler(inputCols=list(K.MODEL_FEATURES), outputCol="model_vector"), classifier]), found)
+
+
+#: Trees that are read into the driver at a time: MLlib collects them, and what a read holds besides the model goes before the next.
+_READ = 20
+
+
+def assembled(spark: SparkSession, kind: str, params: dict, nodes: DataFrame, seed: int = SEED) -> Model:
+    """MLlib's model of the trees that `search.grown` gives, read from files in the form in which MLlib stores its own."""
+    learner, model, tree = _LEARNERS[kind]
+    estimator = learner(**_COLS, seed=seed, **params)
+    own, defaults = ({p.name: v for p, v in m.items()} for m in (estimator._paramMap, estimator._defaultParamMap))
+    trees, package = params[search.LENGTH[kind]], "org.apache.spark.ml"
+    path, package_of_tree = f"{work_dir(spark)}/fitted/{uuid.uuid4().hex}", "classification" if kind == "forest" else "regression"
+    is_leaf = F.col("left") < 0
+    split = F.struct(
+        F.col("feature").alias("featureIndex"), F.when(is_leaf, F.array().cast("array<double>")).otherwise(F.array("threshold")).alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
+    node = F.struct("id", "prediction", "impurity", F.col("stats").alias("impurityStats"), F.col("n").alias("rawCount"), "gain", F.col("left").alias("leftChild"), F.col("right").alias("rightChild"), split.alias("split"))
+    nodes = kept(nodes.select("tree", node.alias("nodeData")))
+
+    def metadata(name: str, uid: str, own: dict, defaults: dict, **more) -> str:
+        return json.dumps({"class": f"{package}.{name}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid, "paramMap": own, "defaultParamMap": defaults, **more})
+
+    def read(first: int, n: int) -> Model:
+        """The model of `n` trees from `first` on."""
+        at, classes = f"{path}/{first}", {"numClasses": 2} if kind == "forest" else {}
+        whole = metadata(f"classification.{model.__name__}", estimator.uid, own, defaults, numFeatures=len(K.MODEL_FEATURES), numTrees=n, **classes)
+        spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{at}/metadata")
+        each = [(i, metadata(f"{package_of_tree}.{tree}", f"{estimator.uid}_{first + i}", {"featuresCol": "model_vector"}, {}), search.tree_weight(kind, params, first + i)) for i in range(n)]
+        spark.createDataFrame(each, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{at}/treesMetadata")
+        nodes.where(F.col("tree").between(first, first + n - 1)).select((F.col("tree") - first).alias("treeID"), "nodeData").write.parquet(f"{at}/data")
+        return model.load(at)
+
+    if kind != "forest":
+        return read(0, trees)
+    jvm = getattr(spark._jvm, package).classification
+    joined = spark.sparkContext._gateway.new_array(getattr(jvm, tree), trees)
+    for first in range(0, trees, _READ):
+        for i, one in enumerate(read(first, min(_READ, trees - first))._java_obj.trees()):
+            joined[first + i] = one
+    out = estimator._copyValues(model(jvm.RandomForestClassificationModel(estimator.uid, joined, len(K.MODEL_FEATURES), 2)))
+    out._transfer_params_to_java()
+    return out
 
 
 def tune_forest(train: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, **options) -> FittedModel:

@@ -231,10 +231,11 @@ def binned(x: np.ndarray, learned: np.ndarray, bins: int = BINS) -> np.ndarray:
     return codes
 
 
-def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int, least: float, least_gain: float, tried: int, rng: np.random.Generator) -> np.ndarray:
+def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int, least: float, least_gain: float, tried: int, rng: np.random.Generator, levels: list | None = None) -> np.ndarray:
     """One tree, level by level; returns its value for every row. Rows of weight 0 are only carried along.
 
-    `least`: rows of a child at least; `tried`: features tried at a node, drawn anew for each.
+    `least`: rows of a child at least; `tried`: features tried at a node, drawn anew for each. `levels` gets the nodes of
+    each level: rows, sum and sum of squares, whether it is split, at which feature and bin, and the gain.
     """
     n, features = codes.shape
     bins = int(codes.max()) + 1
@@ -243,6 +244,9 @@ def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int,
         w, t = weight[alive], target[alive]
         total, mass = np.bincount(node, w * t, nodes), np.bincount(node, w, nodes)
         mean = total / np.maximum(mass, 1e-300)
+        if levels is not None:
+            none = np.zeros(nodes, np.int64)
+            levels.append((mass, total, np.bincount(node, w * t * t, nodes), none > 0, none, none, none))
         if level == depth:
             break
         learned = np.flatnonzero(w > 0)
@@ -264,6 +268,8 @@ def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int,
         best = gain.argmax(1)
         won = (gain[np.arange(nodes), best] - total * mean) / np.maximum(mass, 1e-300)
         split = (won > 1e-12) & (won >= least_gain)
+        if levels is not None:
+            levels[-1] = (*levels[-1][:3], split, best // (bins - 1), best % (bins - 1), won)
         goes_on = split[node]
         value[alive[~goes_on]] = mean[node[~goes_on]]
         alive, node = alive[goes_on], node[goes_on]
@@ -322,14 +328,14 @@ def _grower(kind: str, codes: np.ndarray, label: np.ndarray, drawn: Callable[[np
     label = label.astype(float)
     sign = 2.0 * label - 1
 
-    def tree(i: int, margin: np.ndarray) -> np.ndarray:
+    def tree(i: int, margin: np.ndarray, *levels: list) -> np.ndarray:
         rng = np.random.default_rng([seed, i])
         weight = drawn(rng)
         if forest:
             # the gain of Gini impurity is twice that of the variance of 0 and 1
-            return grow(codes, label, weight, params["maxDepth"], least, least_gain / 2, tried, rng)
+            return grow(codes, label, weight, params["maxDepth"], least, least_gain / 2, tried, rng, *levels)
         target = sign if i == 0 else 4 * sign / (1 + np.exp(np.clip(2 * sign * margin, -500, 500)))
-        return grow(codes, target, weight, params["maxDepth"], least, least_gain, tried, rng)
+        return grow(codes, target, weight, params["maxDepth"], least, least_gain, tried, rng, *levels)
 
     return tree
 
@@ -347,3 +353,46 @@ def tree_weight(kind: str, params: dict, i: int) -> float:
     """What tree `i` counts: one in a forest and for the first round, the step size for later rounds."""
     return 1.0 if kind == "forest" or i == 0 else params.get("stepSize", 0.1)
 
+
+# --- the fitted trees ------------------------------------------------------------
+
+
+NODES = "tree int, id int, prediction double, impurity double, stats array<double>, n long, gain double, left int, right int, feature int, threshold double"
+
+
+def grown(spark: SparkSession, cells: Cells, kind: str, params: dict, seed: int = 42) -> DataFrame:
+    """The nodes of the model that `params` ask for, in the tasks: trees of a forest are dealt, rounds follow each other in one task."""
+    data, length = spark.sparkContext.broadcast(cells), params[LENGTH[kind]]
+    parts = min(length, 100) if kind == "forest" else 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = data.value
+        tree = _grower(kind, own.codes, own.label, _draws(kind, own, params), params, seed)
+        for batch in batches:
+            for part in batch["part"]:
+                margin = np.zeros(len(own.label))
+                for i in range(part, length, parts):
+                    levels: list[tuple] = []
+                    value = tree(i, margin, levels)
+                    if kind != "forest":
+                        margin += tree_weight(kind, params, i) * value
+                    yield nodes_of(levels, own.cuts, kind == "forest").assign(tree=i)
+
+    return spark.range(parts).withColumnRenamed("id", "part").repartition(parts).mapInPandas(run, NODES)
+
+
+def nodes_of(levels: Sequence[tuple], cuts: list[np.ndarray], forest: bool) -> pd.DataFrame:
+    """The nodes that `grow` noted, numbered level by level, with MLlib's statistics."""
+    found, below = [], 0
+    for n, total, squares, split, feature, at, gain in levels:
+        ids = below + np.arange(len(n))
+        below += len(n)
+        child = np.where(split, below + 2 * (np.cumsum(split) - 1), -1)
+        mean = total / np.maximum(n, 1e-300)
+        variance = squares / np.maximum(n, 1e-300) - mean**2
+        found.append(pd.DataFrame({
+            "id": ids, "prediction": (mean > 0.5).astype(float) if forest else mean, "impurity": variance * (2 if forest else 1),
+            "stats": list(np.stack([n - total, total] if forest else [n, total, squares], axis=1)), "n": n.astype(np.int64),
+            "gain": np.where(split, gain * (2 if forest else 1), -1.0), "left": child, "right": np.where(split, child + 1, -1),
+            "feature": np.where(split, feature, -1), "threshold": [cuts[f][c] if s else math.nan for s, f, c in zip(split, feature, at)]}))
+    return pd.concat(found)
