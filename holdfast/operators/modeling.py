@@ -133,7 +133,7 @@ def _fit(name: str, classifier: Estimator, train: DataFrame, version: str = "v1"
 
 _COLS = {"featuresCol": "model_vector", "labelCol": LABEL}
 # a level of a forest looks up where its rows stand instead of walking every row down every tree again; the trees are the same
-_OWN = {"cacheNodeIds": True}
+_OWN = {"forest": {"cacheNodeIds": True}, "boosting": {}}
 
 
 def with_balanced_weight(train: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def fit_tree(train: DataFrame, depth: int = 5) -> FittedModel:
 
 def fit_forest(train: DataFrame, trees: int = 100, depth: int = 30) -> FittedModel:
     """Random forest, grown as deep as MLlib allows (30 levels) unless told otherwise."""
-    return _fit("random_forest", RandomForestClassifier(**_COLS, **_OWN, numTrees=trees, maxDepth=depth, seed=SEED), train)
+    return _fit("random_forest", RandomForestClassifier(**_COLS, **_OWN["forest"], numTrees=trees, maxDepth=depth, seed=SEED), train)
 
 
 def fit_gbt(train: DataFrame, rounds: int = 100, depth: int = 5, step: float = 0.1, balanced: bool = False) -> FittedModel:
@@ -205,7 +205,7 @@ _READ = 20
 def assembled(spark: SparkSession, kind: str, params: dict, nodes: DataFrame, seed: int = SEED) -> Model:
     """MLlib's model of the trees that `search.grown` gives, read from files in the form in which MLlib stores its own."""
     learner, model, tree = _LEARNERS[kind]
-    estimator = learner(**_COLS, seed=seed, **params)
+    estimator = learner(**_COLS, **_OWN[kind], seed=seed, **params)
     own, defaults = ({p.name: v for p, v in m.items()} for m in (estimator._paramMap, estimator._defaultParamMap))
     trees, package = params[search.LENGTH[kind]], "org.apache.spark.ml"
     path, package_of_tree = f"{work_dir(spark)}/fitted/{uuid.uuid4().hex}", "classification" if kind == "forest" else "regression"
